@@ -36,7 +36,62 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(decode(encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path))
 
 
+def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoline.llm.decontaminate import contamination, digests
+
+    return digests(contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+
+
+def op9_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoline.llm.licenses import scan_licenses
+
+    joined = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
+    return scan_licenses(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score")
+
+
+def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoline.llm.language import held_out, identify, train
+
+    docs = read(spark, sf_dir, "documents")
+    model = train(docs.where(~held_out()))
+    return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoline.llm.common import crc_mod
+    from chronoline.llm.toxicity import THRESHOLD, scored, train
+
+    docs = read(spark, sf_dir, "documents")
+    model = train(docs, read(spark, sf_dir, "labels"))
+    return scored(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoline.llm.simhash import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op2_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoline.llm.urls import judge
+
+    return judge(read(spark, sf_dir, "pages"))
+
+
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoline.llm.ordermin import edits
+
+    return edits(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_link_trust": op2_link_trust,
+    "op3_toxicity": op3_toxicity,
+    "op6_simhash_trie": op6_simhash_trie,
+    "op7_order_minhash": op7_order_minhash,
+    "op8_ppm_language": op8_ppm_language,
+    "op9_license_automaton": op9_license_automaton,
+    "op10_wu_manber": op10_wu_manber,
 }
 ORACLES: dict[str, str] = {}
