@@ -223,7 +223,49 @@ def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
         hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.col("items").cast("array<string>"), ",").cast("binary"), 256).alias("items_sha256"),
-    ).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
+    ).withColumn("contaminated", flagged(F.col("n_hit"), F.col("n_words")))
+
+
+def flagged(n_hit, n_words):
+    """The rule: any hit word, and at least a twentieth of the words hit."""
+    return (n_hit > 0) & (n_hit * 20 >= n_words)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, all columns, that the rule does not flag.
+
+    With one block of items rows are judged where they are read; with more, the hits of all
+    blocks are united first and joined back by the rows' hashes.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark = docs.sparkSession
+    blocks = list(_item_blocks(benchmark, item, item_text)) if benchmark.count() <= 100_000 else None
+    if blocks is None or len(blocks) > 1:
+        marked = docs.withColumn("__hash", F.xxhash64(F.col(text), F.col(text).isNull()))
+        found = contamination(marked, benchmark, "__hash", text, item, item_text, window).dropDuplicates(["__hash"])
+        bad = digests(found, "__hash").where("contaminated").select("__hash")
+        return marked.join(bad, "__hash", "left_anti").select(docs.columns)
+    searchers = spark.sparkContext.broadcast(build(blocks[0], window) if blocks else [])
+    names = to_arrow_schema(docs.schema).names
+
+    def keep(batches):
+        for batch in batches:
+            for piece in sliced(batch, text):
+                raw, at = text_bytes(piece.column(text))
+                low = LOWER[raw]
+                starts, stops, first = word_spans(low, at, ALNUM)
+                hashes, body = hash_spans(low, starts, stops), low.tobytes()
+                hit = np.zeros(len(starts) + 1, np.int64)
+                for s in searchers.value:
+                    for a, _ in s.search(hashes, first, body, starts, stops):
+                        hit[a : a + s.length] = 1
+                total = np.concatenate([[0], np.cumsum(hit[:-1])])
+                kept = piece.filter(pa.array(~flagged(total[first[1:]] - total[first[:-1]], np.diff(first))))
+                if kept.num_rows:
+                    yield pa.RecordBatch.from_arrays(kept.columns, names=names)
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def brute(text: str | None, items: list[tuple[int, str | None]], window: int = WINDOW) -> tuple[int, int, int, str]:

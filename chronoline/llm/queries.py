@@ -17,13 +17,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bpe_digests(decoded: DataFrame) -> DataFrame:
+def bpe_digests(decoded: DataFrame, *more: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of decoded rows."""
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),
+        *more,
     )
 
 
@@ -84,10 +85,17 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits(read(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoline.llm.suffixdedup import digests, without_repeats
+
+    return digests(without_repeats(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_link_trust": op2_link_trust,
     "op3_toxicity": op3_toxicity,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_simhash_trie": op6_simhash_trie,
     "op7_order_minhash": op7_order_minhash,
     "op8_ppm_language": op8_ppm_language,
