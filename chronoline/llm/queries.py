@@ -91,10 +91,17 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(without_repeats(read(spark, sf_dir, "documents")))
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoline.llm.katz import score
+
+    return score(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_link_trust": op2_link_trust,
     "op3_toxicity": op3_toxicity,
+    "op4_katz": op4_katz,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_simhash_trie": op6_simhash_trie,
     "op7_order_minhash": op7_order_minhash,
