@@ -170,9 +170,10 @@ def links(distinct: DataFrame, budget: int = BUDGET, rows: int | None = None) ->
         put = _split(put, hot, blocks, choices, budget)
 
     def traversed(batches):
-        t = pa.Table.from_batches(list(batches))
-        if not t.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        t = pa.Table.from_batches(held)
         trie, prefix, item, fp = (t.column(c).to_numpy() for c in ("trie", "prefix", "item", "fp"))
         fp = fp.view(np.uint64)
         parent: dict[int, int] = {}
