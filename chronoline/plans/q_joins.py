@@ -21,9 +21,9 @@ def near_pairs(n: Network):
     return spatial.within(n.stn).select("a", "b", F.round("km", 6).alias("km"))
 
 
-@op("j06_same_base_name", f"WITH s AS (SELECT *, station_id % 33 AS base, count(*) OVER (PARTITION BY station_id % 33) AS n FROM stn) SELECT a.station_id AS a, b.station_id AS b, round({_KM}, 6) AS km FROM s a JOIN s b ON a.base = b.base AND a.station_id < b.station_id WHERE a.n BETWEEN 2 AND 8 AND {_KM} <= 1.2")
+@op("j06_same_base_name", f"WITH s AS (SELECT *, station_id % 10 + 10 * (station_id // 20) AS base, count(*) OVER (PARTITION BY station_id % 10 + 10 * (station_id // 20)) AS n FROM stn) SELECT a.station_id AS a, b.station_id AS b, round({_KM}, 6) AS km FROM s a JOIN s b ON a.base = b.base AND a.station_id < b.station_id WHERE a.n BETWEEN 2 AND 8 AND {_KM} <= 1.2")
 def same_base_name(n: Network):
-    return spatial.same_name_walks(n.stn.withColumn("base", F.col("station_id") % 33), "base").select("a", "b", F.round("km", 6).alias("km"))
+    return spatial.same_name_walks(n.stn.withColumn("base", F.col("station_id") % 10 + 10 * F.floor(F.col("station_id") / 20)), "base").select("a", "b", F.round("km", 6).alias("km"))
 
 
 both("j07_bus_to_rail", f"SELECT a.station_id AS a, b.station_id AS b, round({_KM}, 6) AS km FROM {{stn}} a JOIN {{stn}} b ON a.mode = 1 AND b.mode = 0 AND a.station_id % 10 = b.station_id % 10 WHERE {_KM} <= 0.6")

@@ -22,7 +22,7 @@ _REACH = """WITH RECURSIVE walks AS (SELECT a, b, walk FROM foot UNION ALL SELEC
     WHERE y.arr < coalesce((SELECT r.arr FROM recurring.lab r WHERE r.station_id = y.station_id), 999999)) SELECT station_id, arr FROM lab"""
 
 
-@op("g01_reach_rounds")
+@op("g01_reach_rounds", _REACH)
 def reach_rounds(n: Network):
     return graph.reach_rounds(n.conn, n.foot, 8, 0)
 

@@ -139,6 +139,7 @@ def day_key_match(n: Network):
     return x.select("line", F.when(F.col("sat") == 0, "no-evidence").when(F.try_divide("sat", "wk") < 0.1, "low-rho").otherwise("volume").alias("kind"))
 
 
+both("s25_day_type_keys", "SELECT DISTINCT CAST(trip_id / 100 AS BIGINT) AS key, cal FROM {trip} WHERE cal IN (2, 4)", "SELECT DISTINCT trip_id // 100 AS key, cal FROM trip WHERE cal IN (2, 4)")
 both("m05_calendar_inheritance", "SELECT t.trip_id, coalesce(e.cal, CASE WHEN t.type_id = 1 THEN t.cal END, 7) AS cal FROM {trip} t LEFT JOIN (SELECT line, type_id, min_by(cal, trip_id) AS cal FROM {trip} WHERE type_id = 0 GROUP BY line, type_id) e ON t.line = e.line AND t.type_id = e.type_id")
 both("m07_calendar_reset", "SELECT trip_id, CASE WHEN mode = 0 AND max(cal & 6) OVER (PARTITION BY line, type_id, trip_id % 100) = 0 THEN 7 ELSE cal END AS cal FROM {trip}")
 both("m06_resume_state", "SELECT trip_id, max(done) AS done FROM (SELECT trip_id, 0 AS done FROM {trip} UNION ALL SELECT trip_id, 1 FROM {trip} WHERE cal = 1) x GROUP BY trip_id")
@@ -150,12 +151,12 @@ def holidays(n: Network):
     return feeds.holidays(n.spark, 2026)
 
 
-@op("s25_service_windows", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+@op("x08_daily_counts", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def service_windows(n: Network):
     return n.ev.groupBy(F.date_trunc("day", "ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
 
 
-@op("s23_sessions", "SELECT user_id, CAST(s AS BIGINT) AS session, count(*) AS n FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 43200 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) AS gap FROM events) x) y GROUP BY user_id, s")
+@op("x07_user_sessions", "SELECT user_id, CAST(s AS BIGINT) AS session, count(*) AS n FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 43200 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) AS gap FROM events) x) y GROUP BY user_id, s")
 def sessions(n: Network):
     w = W.partitionBy("user_id").orderBy("ts")
     at = F.col("ts").cast("timestamp").cast("double")
