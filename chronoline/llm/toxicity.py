@@ -11,8 +11,7 @@ a third the trees, a third the calibration.
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,22 +48,48 @@ def _table(words) -> np.ndarray:
     return np.array(sorted({hash_word(w) for w in words}), np.uint64)
 
 
-_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+def _chunks(texts: list[str], most: int = 2 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of about ``most`` characters each."""
+    lo = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size > most or i == len(texts) - 1:
+            yield lo, pa.array(texts[lo : i + 1], pa.string())
+            lo, size = i + 1, 0
+
+
+def _entries(texts: list[str], stem: int) -> Iterator[np.ndarray]:
+    """Hashes of the distinct words of each text (stem 0), or of the beginnings of the longer ones, a chunk at a time."""
+    for _, column in _chunks(texts):
+        raw, at = text_bytes(column)
+        low = LOWER[raw]
+        starts, stops, first = word_spans(low, at, ALNUM)
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        if stem:
+            long = stops - starts > stem
+            starts, row = starts[long], row[long]
+            stops = starts + stem
+        hashes = hash_spans(low, starts, stops)
+        order = np.lexsort([hashes, row])
+        h, r = hashes[order], row[order]
+        yield h[np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])])] if len(h) else h
 
 
 class Lexicon:
-    """Words, and beginnings of words, that stand in toxic rows of the sample far more often than in clean ones."""
+    """Words, and beginnings of words, that stand in toxic rows of the sample far more often than in clean ones.  Entries are hashes."""
 
     def __init__(self, texts: list[str], labels: np.ndarray):
-        low, toxic, clean = bytes(LOWER.tolist()), Counter(), Counter()
-        for text, label in zip(texts, labels):
-            words = set(_WORD.findall(text.encode().translate(low)))
-            entries = words | {(n, w[:n]) for w in words for n in STEMS if len(w) > n}
-            (toxic if label else clean).update(entries)
-        n1, n0 = max(1, int(labels.sum())), max(1, len(labels) - int(labels.sum()))
-        found = [e for e, n in toxic.items() if n >= MIN_TOXIC and n / n1 >= MIN_LIFT * (clean[e] + 0.5) / n0]
-        self.words = _table([w for w in found if isinstance(w, bytes)])
-        self.stems = {n: _table([w[1] for w in found if isinstance(w, tuple) and w[0] == n]) for n in STEMS}
+        toxic, clean = ([t for t, y in zip(texts, labels) if (y > 0) == side] for side in (True, False))
+        n1, n0 = max(1, len(toxic)), max(1, len(clean))
+        tables = {}
+        for stem in (0, *STEMS):
+            names, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *_entries(toxic, stem)]), return_counts=True)
+            names, times = names[times >= MIN_TOXIC], times[times >= MIN_TOXIC]
+            other = np.zeros(len(names))
+            for h in _entries(clean, stem):
+                np.add.at(other, np.searchsorted(names, h[_known(names, h)]), 1)
+            tables[stem] = names[times / n1 >= MIN_LIFT * (other + 0.5) / n0]
+        self.words, self.stems = tables[0], {k: tables[k] for k in STEMS}
         self.insults, self.you = _table(w.encode() for w in INSULTS), _table(w.encode() for w in YOU)
 
 
@@ -215,7 +240,7 @@ class Model:
         few = len(y) < 600  # too few for parts: the lexicon stays at the fixed words' and all rows serve twice
         a, b, c = (np.flatnonzero(part == k) if not few else np.arange(len(y)) for k in range(3))
         self.lexicon = Lexicon([texts[i] for i in a] if not few else [], y[a] if not few else np.zeros(0))
-        x = features(pa.array(texts, pa.string()), self.lexicon)
+        x = np.concatenate([np.zeros((0, len(NAMES))), *[features(column, self.lexicon) for _, column in _chunks(texts)]])
         self.trees = Boosted(x[b], y[b]) if len(y) else None
         self.calibrated = Isotonic(self.trees.margin(x[c]), y[c]) if len(y) else None
 
