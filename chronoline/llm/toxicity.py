@@ -24,7 +24,7 @@ from chronoline.llm.common import ALNUM, LOWER, crc_mod, hash_spans, hash_word,
 TRAIN_ROWS, TRAIN_CHARS = 12_000, 30_000
 THRESHOLD = 0.7
 #: A learned entry needs so many toxic rows, and so many times the clean rows' rate.
-MIN_TOXIC, MIN_LIFT = 4, 12.0
+MIN_TOXIC, MIN_LIFT = 4, 40.0
 #: Lengths in bytes of the word beginnings that are tried as lexicon entries.
 STEMS = (4, 5, 6)
 # Insults, and second-person words of four languages.
@@ -237,9 +237,9 @@ class Model:
     def __init__(self, texts: list[str], labels: list[int]):
         y = np.array(labels, np.float64)
         part = np.arange(len(y)) % 3  # the sample comes in hash order
-        few = len(y) < 600  # too few for parts: the lexicon stays at the fixed words' and all rows serve twice
+        few = len(y) < 600  # too few for parts: all rows serve all three
         a, b, c = (np.flatnonzero(part == k) if not few else np.arange(len(y)) for k in range(3))
-        self.lexicon = Lexicon([texts[i] for i in a] if not few else [], y[a] if not few else np.zeros(0))
+        self.lexicon = Lexicon([texts[i] for i in a], y[a])
         x = np.concatenate([np.zeros((0, len(NAMES))), *[features(column, self.lexicon) for _, column in _chunks(texts)]])
         self.trees = Boosted(x[b], y[b]) if len(y) else None
         self.calibrated = Isotonic(self.trees.margin(x[c]), y[c]) if len(y) else None
@@ -260,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     slots = 1 << 30
     if n > TRAIN_ROWS:
         said = said.where(F.pmod(F.xxhash64("key"), F.lit(slots)) < F.lit(int(slots * TRAIN_ROWS / n)))
-    said = F.broadcast(said) if n <= 4 * TRAIN_ROWS else said  # counted: about TRAIN_ROWS rows are left
+    said = F.broadcast(said)  # counted, then cut to about TRAIN_ROWS rows
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.substring(text, 1, TRAIN_CHARS).alias("text")).join(said, "key")
     sample = rows.select(F.xxhash64("key").alias("h"), "text", F.col("label").cast("int").alias("label")).collect()
     sample.sort(key=lambda r: (r.h, r.text))
