@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoline.operators import fares, graph, timetable
+from chronoline.operators import fares, graph, journeys
 from chronoline.plans.adapter import Network
 from chronoline.plans.registry import both, op
 
@@ -98,24 +98,24 @@ def _profile(n: Network, source: int, target: int, starts: range):
     return graph.search(_requests(n, [(source, target, s, None) for s in starts]), n.conn, n.foot).select("dep", "arr", "rides", "path").distinct()
 
 
-@op("q01_journeys")
-def journeys(n: Network):
-    found = _profile(n, 8, 55, range(360, 720, 30))
-    scored = found.withColumn("fare", F.col("rides") * 180).withColumn("least", F.min("fare").over(W.partitionBy(F.lit(1))))
-    return scored.select("dep", "arr", "rides", "path", fares.score(F.col("arr"), F.col("rides") - 1, F.col("fare"), F.col("least"), F.lit(False)).alias("score")).orderBy("score", "rides", "arr", F.desc("dep")).limit(12)
+def _fare(j: journeys.Journey) -> tuple[int, int]:
+    """The fixture's fare: by minutes on board; a third less without a reserved seat."""
+    total = 150 + 10 * sum((x[5] - x[3]) // 30 for x in j.rides)
+    return total, total * 2 // 3
 
 
-op("q02_next_journey")(lambda n: _profile(n, 8, 55, range(360, 1200, 15)).where("dep > 500").agg(F.min(F.struct("dep", "arr")).alias("x")).select("x.*"))
-op("q03_previous_journey")(lambda n: _profile(n, 8, 55, range(320, 500, 5)).where("dep < 500").agg(F.max(F.struct("dep", "arr")).alias("x")).select("x.*"))
+def _plan(n: Network, asked: list[tuple]):
+    requests = n.spark.createDataFrame([(i, *r) for i, r in enumerate(asked)], "req long, what string, source int, target int, at int, options string")
+    cls = F.when((F.col("line") == "purchase") & (F.col("type_id") == 2), "paid").when((F.col("line") == "signup") & (F.col("type_id") == 1), "shinkansen")
+    trips = n.trip.join(n.company, "line").select("trip_id", "line", cls.alias("cls"), F.col("company").alias("operator"))
+    return journeys.plan(requests, n.conn, n.foot, trips, _fare)
 
 
-@op("q04_first_and_last")
-def first_and_last(n: Network):
-    p = _profile(n, 8, 55, range(240, 1440, 20)).where("dep < 1440")
-    return p.agg(F.min("dep").alias("first_dep"), F.min_by("arr", "dep").alias("first_arr"), F.max("dep").alias("last_dep"), F.max_by("arr", "dep").alias("last_arr"))
-
-
-op("q05_latest_departure")(lambda n: _profile(n, 8, 55, range(240, 1200, 10)).where("arr <= 1200").agg(F.max(F.struct("dep", "arr")).alias("x")).select("x.*"))
+op("q01_journeys")(lambda n: _plan(n, [("find", 8, 55, 400, None), ("find", 8, 55, 400, '{"budget": 200}'), ("find", 3, 77, 500, '{"no_bus": true}'), ("find", 21, 90, 300, '{"operators": ["Metro"], "express": false}')]))
+op("q02_next_journey")(lambda n: _plan(n, [("next", 8, 55, 500, None), ("next", 3, 77, 700, '{"day": 0}')]))
+op("q03_previous_journey")(lambda n: _plan(n, [("previous", 8, 55, 500, None), ("previous", 3, 77, 700, None)]))
+op("q04_first_and_last")(lambda n: _plan(n, [("first", 8, 55, 0, None), ("last", 8, 55, 0, None), ("last", 3, 77, 0, '{"bus_only": true}')]))
+op("q05_latest_departure")(lambda n: _plan(n, [("latest", 8, 55, 1200, None), ("latest", 3, 77, 900, None)]))
 
 
 @op("q07_budget", "SELECT trip_id, fare IS NULL AS unknown, coalesce(least_fare > 400, false) AS over, CAST(CASE WHEN coalesce(least_fare > 400, false) THEN least_fare - 400 ELSE 0 END AS BIGINT) AS over_by, CASE WHEN fare > 400 AND least_fare <= 400 THEN 'nonreserved' END AS seat_hint FROM (SELECT trip_id, CASE WHEN company = 'Coast' THEN NULL ELSE hops * 180 END AS fare, CASE WHEN company = 'Coast' THEN NULL ELSE hops * 150 END AS least_fare FROM leg) x")

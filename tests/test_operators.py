@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from chronoline.functions import kana
-from chronoline.operators import feeds, graph
+from chronoline.operators import feeds, graph, journeys
 from chronoline.sources import tv3
 
 
@@ -102,3 +102,47 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.event_type, r.n) for r in spark.sql("SELECT * FROM hours").collect()] == [("a", 2)]
+
+
+def planner(fare=None):
+    rows = [(1, 100, 2, 110, 1, 1, 0, 7), (2, 120, 3, 140, 2, 1, 0, 7), (1, 105, 3, 200, 3, 1, 0, 7), (1, 130, 3, 150, 4, 1, 1, 7), (1, 160, 3, 170, 5, 1, 0, 7), (3, 180, 1, 190, 6, 1, 0, 7), (1, 195, 4, 230, 6, 2, 0, 7)]
+    trips = pd.DataFrame([(1, "a", None, "X"), (2, "b", None, "X"), (3, "c", None, "Y"), (4, "bus", None, ""), (5, "d", "paid", "Y"), (6, "e", None, "X")], columns=["trip_id", "line", "cls", "operator"])
+    return journeys.Planner(conn(rows), pd.DataFrame([], columns=["a", "b", "walk"]), trips, fare)
+
+
+def test_planner_options():
+    p, o = planner(), journeys.Options
+    assert p.query(1, 3, 90).arr == 140 and p.query(1, 3, 90).transfers == 1
+    assert p.query(1, 3, 111).rides[0][1] == 4
+    assert p.query(1, 3, 111, o(no_bus=True)).rides[0][1] == 5
+    assert p.query(1, 3, 90, o(bus_only=True, no_bus=True)).rides[0][1] == 4
+    assert p.query(1, 3, 90, o(operators=frozenset(["Y"]))).rides[0][1] == 5
+    assert p.query(1, 3, 90, o(operators=frozenset(["Y"]), express=False)).rides[0][1] == 3
+    assert p.query(1, 3, 90, o(operators=frozenset(["Nobody"]))) is None
+    assert p.query(1, 3, 90, o(ban_trips=frozenset([2]), ban_lines=frozenset(["bus"]))).rides[0][1] == 5
+    assert p.query(1, 1, 90) is None
+
+
+def test_planner_profiles():
+    p = planner()
+    assert [j.dep for j in p.profile(1, 3, 90, 170)] == [100, 130, 160]
+    assert p.next(1, 3, 100).dep == 130 and p.previous(1, 3, 160).dep == 130
+    assert p.latest(1, 3, 155, 0).dep == 130 and p.latest(1, 3, 120, 0) is None
+
+
+def test_planner_ranks_and_budgets():
+    cost = {1: 50, 2: 50, 3: 80, 4: 300, 5: 500}
+    p = planner(lambda j: (sum(cost.get(x[1], 10) for x in j.rides),) * 2)
+    found = p.find(1, 3, 90)
+    assert [j.score for j in found] == sorted(j.score for j in found) and found[0].arr == 140
+    assert {x[1] for j in found for x in j.rides} >= {1, 2, 4, 5}
+    within = p.find(1, 3, 111, journeys.Options(budget=350))
+    assert within and not any(j.over for j in within)
+    none = p.find(1, 3, 111, journeys.Options(budget=1))
+    assert none and all(j.over for j in none) and [j.min_fare for j in none] == sorted(j.min_fare for j in none)
+
+
+def test_planner_leaves_loops_out():
+    j = planner().query(3, 4, 170)
+    assert j.legs == [("ride", 6, 3, 180, 4, 230)]
+    assert planner()._without_loop([("ride", 9, 7, 170, 3, 175), ("ride", 6, 3, 180, 4, 230)], 1) == [("ride", 6, 1, 195, 4, 230)]
