@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from chronoline.llm.common import LOWER, NON_SPACE, crc_mod, hash_spans, sliced, stage_table, text_bytes, word_spans
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Counts with a Good-Turing discount; larger counts lose DISCOUNT.
 GT, DISCOUNT = 5, 0.5
 ADD = 0.1
@@ -159,7 +159,7 @@ class Katz:
         self.spark, self.key = docs.sparkSession, key
         rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), held_out.alias("held")).withColumn("part", F.spark_partition_id())
         self.kind, self.arrow = rows.schema["key"].dataType.simpleString(), to_arrow_type(rows.schema["key"].dataType)
-        self.owners = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+        self.owners = 2 * max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
         self.blocks, self.train_tokens, self.distinct, self.train_texts = self._count_words(rows)
         self.answers, self.discounts, self.spread = self._count_pairs()
 
