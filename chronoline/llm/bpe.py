@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoline.llm.common import sliced
+from chronoline.llm.common import sliced, thrifty, trim
 
 #: Bytes of text in a block; bounds the memory of a task, not the result.
 BLOCK_BYTES = 12 << 20
@@ -190,6 +190,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
                 stop = np.cumsum(n)
                 out_ids.append(ids[np.arange(int(stop[-1])) + np.repeat(begin[words] - (stop - n), n)])
             ends.append(ends[-1] + (len(out_ids[-1]) if len(words) else 0))
+        trim()
         flat_ids = pa.array(np.concatenate(out_ids) if out_ids else np.zeros(0, np.int32))
         return pa.table({"key": table.column("key").take(pa.array(texts, pa.int64())), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat_ids)})
 
@@ -197,8 +198,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
 
     kinds = to_arrow_type(rows.schema["key"].dataType)
     row = f"block long, key {kind}, numbers binary, flat binary, count binary"
-    ids = parts.mapInArrow(words_out, "owner int, block long, numbers binary, body binary, sizes binary").repartition(owners, "owner").mapInArrow(merged, row)
-    places = parts.mapInArrow(positions, row)
+    ids = parts.mapInArrow(thrifty(words_out), "owner int, block long, numbers binary, body binary, sizes binary").repartition(owners, "owner").mapInArrow(thrifty(merged), row)
+    places = parts.mapInArrow(thrifty(positions), row)
     return ids.unionByName(places).groupBy("block").applyInArrow(reassembled, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
@@ -224,4 +225,4 @@ def decode(encoded: DataFrame, ranks_path: str, key: str = "doc_id", ids: str =
             out = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends[at].astype(np.int32)), raw if raw is not None else pa.py_buffer(b"")])
             yield pa.record_batch([batch.column(0), column, out], [key, "ids", "bytes"])
 
-    return rows.mapInArrow(joined, f"`{key}` {rows.schema[key].dataType.simpleString()}, ids array<int>, bytes binary")
+    return rows.mapInArrow(thrifty(joined), f"`{key}` {rows.schema[key].dataType.simpleString()}, ids array<int>, bytes binary")

@@ -7,6 +7,7 @@ and its identity is a 64-bit hash of its (lower-cased) bytes.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -54,6 +55,26 @@ def drop_stage_tables(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trim() -> None:
+    """Give freed memory back to the system; Python workers live on between tasks and stages."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps its memory
+        pass
+
+
+def thrifty(run):
+    """A batch function that trims once its partition has ended."""
+
+    def trimmed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return trimmed
+
+
 def crc_mod(key: Column, mod: int) -> Column:
     """crc32 of the key as text, modulo ``mod``; a null key counts as the empty string."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(mod)
@@ -74,7 +95,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def sliced(batch: pa.RecordBatch, name: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batch: pa.RecordBatch, name: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that ``name`` holds about ``most`` bytes a piece (one row at least)."""
     _, at = text_bytes(batch.column(name))
     lo = 0

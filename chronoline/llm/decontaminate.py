@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoline.llm.common import ALNUM, LOWER, hash_spans, sliced, text_bytes, word_spans
+from chronoline.llm.common import ALNUM, LOWER, hash_spans, sliced, text_bytes, thrifty, word_spans
 
 WINDOW = 13
 #: Words of items that one scan searches for; more items are searched in further scans.
@@ -211,7 +211,7 @@ def _scan(rows: DataFrame, searchers, window: int, out: str, item_kind: str) ->
                     ["key", "hash", "n_words", "spans", "items"],
                 )
 
-    return rows.mapInArrow(scan, out)
+    return rows.mapInArrow(thrifty(scan), out)
 
 
 def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -265,7 +265,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
                 if kept.num_rows:
                     yield pa.RecordBatch.from_arrays(kept.columns, names=names)
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(thrifty(keep), docs.schema)
 
 
 def brute(text: str | None, items: list[tuple[int, str | None]], window: int = WINDOW) -> tuple[int, int, int, str]:

@@ -123,7 +123,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     def score(batches):
         model = given.value
         for batch in batches:
-            for piece in sliced(batch, "text", 4 << 20):
+            for piece in sliced(batch, "text", 1 << 20):
                 raw, at = text_bytes(piece.column("text"))
                 low = LOWER[raw]
                 starts, stops, first = word_spans(low, at, NON_SPACE)

@@ -133,7 +133,7 @@ def edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     def walk(batches) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            for piece in sliced(batch, "text", 4 << 20):
+            for piece in sliced(batch, "text", 1 << 20):
                 out = []
                 for part, tail, k, t in zip(*(piece.column(c).to_pylist() for c in ("part", "tail", "key", "text"))):
                     mine = signature(t)

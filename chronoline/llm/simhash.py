@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoline.llm.common import LOWER, NON_SPACE, ragged, sliced, stage_table, text_bytes, word_spans
+from chronoline.llm.common import LOWER, NON_SPACE, ragged, sliced, stage_table, text_bytes, thrifty, word_spans
 from chronoline.llm.graphs import star_components
 
 SHINGLE, BUDGET, SEED = 4, 4, 42
@@ -59,10 +59,10 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     def take(batches):
         for batch in batches:
-            for piece in sliced(batch, "text", 4 << 20):
+            for piece in sliced(batch, "text", 1 << 20):
                 yield pa.record_batch([piece.column("key"), pa.array(np.array(_fingerprints(piece.column("text")), np.uint64).view(np.int64))], ["key", "fp"])
 
-    return rows.mapInArrow(take, f"key {rows.schema['key'].dataType.simpleString()}, fp long").withColumnRenamed("key", key)
+    return rows.mapInArrow(thrifty(take), f"key {rows.schema['key'].dataType.simpleString()}, fp long").withColumnRenamed("key", key)
 
 
 def block_plan(rows: int, budget: int = BUDGET) -> tuple[int, int]:
@@ -164,7 +164,7 @@ def links(distinct: DataFrame, budget: int = BUDGET, rows: int | None = None) ->
                 value, width = _permuted(fp, blocks, c)
                 yield pa.record_batch([pa.array(np.full(len(fp), k, np.int32)), pa.array((value >> np.uint64(64 - width)).astype(np.int64)), pa.array(np.full(len(fp), -1, np.int32)), pa.array(fp.view(np.int64))], ["trie", "prefix", "item", "fp"])
 
-    put = distinct.select("fp").mapInArrow(placed, "trie int, prefix long, item int, fp long")
+    put = distinct.select("fp").mapInArrow(thrifty(placed), "trie int, prefix long, item int, fp long")
     hot = stage_table(put.groupBy("trie", "prefix").agg(F.count("*").alias("n")).where(F.col("n") > HOT), "hot")
     if not hot.isEmpty():
         put = _split(put, hot, blocks, choices, budget)
@@ -197,7 +197,7 @@ def links(distinct: DataFrame, budget: int = BUDGET, rows: int | None = None) ->
         pairs = np.array([(x, root(x)) for x in parent], np.uint64).reshape(-1, 2).view(np.int64)
         yield pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
 
-    return put.repartition(parts, "trie", "prefix", "item").mapInArrow(traversed, "a long, b long").where("a != b")
+    return put.repartition(parts, "trie", "prefix", "item").mapInArrow(thrifty(traversed), "a long, b long").where("a != b")
 
 
 def _split(put: DataFrame, hot: DataFrame, blocks: int, choices: list, budget: int) -> DataFrame:

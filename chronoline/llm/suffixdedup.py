@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoline.llm.common import mix, sliced, stage_table, text_bytes
+from chronoline.llm.common import mix, sliced, stage_table, text_bytes, thrifty, trim
 from chronoline.llm.induced import repeated_starts
 
 DEPTH, K = 200, 32
 #: Bytes of segments that one suffix sort takes: whole groups of one least hash, a single larger group alone.
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 5 << 18
 #: A least hash with more segments than this deals them further by a second least hash.
 HOT = 2000
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
@@ -67,10 +67,10 @@ def segments(raw: np.ndarray, at: np.ndarray, depth: int = DEPTH, seed: int = 1)
     stop = stop[np.searchsorted(stop, start, "right")]
     first, last = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
     views = np.lib.stride_tricks.sliding_window_view(h, width)
-    for i in range(0, len(start), 20_000):
-        a, b = start[i : i + 20_000], stop[i : i + 20_000] - 1
-        first[i : i + 20_000] = a + np.argmin(views[a], 1)
-        last[i : i + 20_000] = b + width - 1 - np.argmin(views[b][:, ::-1], 1)
+    for i in range(0, len(start), 5_000):
+        a, b = start[i : i + 5_000], stop[i : i + 5_000] - 1
+        first[i : i + 5_000] = a + np.argmin(views[a], 1)
+        last[i : i + 5_000] = b + width - 1 - np.argmin(views[b][:, ::-1], 1)
     return row[start], start - at[row[start]], stop - start, m[start], first != last
 
 
@@ -92,13 +92,13 @@ def repeated_ranges(keyed: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     def found(batches):
         for batch in batches:
-            for piece in sliced(batch, "text", 4 << 20):
+            for piece in sliced(batch, "text", 1 << 20):
                 raw, at = text_bytes(piece.column("text"))
                 row, start, n, least, twice = segments(raw, at, depth)
                 rows = pa.array(row)
                 yield pa.record_batch([pa.array(least.view(np.int64)), piece.column("h1").take(rows), piece.column("h2").take(rows), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(twice)], ["least", "h1", "h2", "start", "n", "twice"])
 
-    keys = stage_table(keyed.select("h1", "h2", "text").mapInArrow(found, "least long, h1 long, h2 int, start int, n int, twice boolean"), "segments")
+    keys = stage_table(keyed.select("h1", "h2", "text").mapInArrow(thrifty(found), "least long, h1 long, h2 int, start int, n int, twice boolean"), "segments")
     many = keys.groupBy("least").agg((F.count("*") + F.max(F.col("twice").cast("int"))).alias("times")).where("times > 1")
     spans = (
         keys.join(many, "least")
@@ -108,7 +108,7 @@ def repeated_ranges(keyed: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            for piece in sliced(batch, "text", 2 << 20):
+            for piece in sliced(batch, "text", 1 << 20):
                 local: dict[tuple[int, bytes], list] = {}
                 for h1, h2, text, segs in zip(*(piece.column(c).to_pylist() for c in ("h1", "h2", "text", "segments"))):
                     body = text.encode()
@@ -128,7 +128,7 @@ def repeated_ranges(keyed: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     places = "array<struct<h1:long,h2:int,start:int>>"
     pairs = keyed.join(spans, ["h1", "h2"]).select("h1", "h2", "text", "rest", "segments")
-    dealt = pairs.mapInArrow(cut, f"least long, body binary, places {places}").repartition(_shards(spark), "least").sortWithinPartitions("least")
+    dealt = pairs.mapInArrow(thrifty(cut), f"least long, body binary, places {places}").repartition(_shards(spark), "least").sortWithinPartitions("least")
 
     def shard(batches) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list] = {}
@@ -145,7 +145,7 @@ def repeated_ranges(keyed: DataFrame, depth: int = DEPTH) -> DataFrame:
                 held[body] += [(p["h1"], p["h2"], p["start"]) for p in where]
         yield from _sorted(held, depth)
 
-    ranges = dealt.mapInArrow(shard, "h1 long, h2 int, lo int, hi int")
+    ranges = dealt.mapInArrow(thrifty(shard), "h1 long, h2 int, lo int, hi int")
     return ranges.groupBy("h1", "h2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
@@ -167,6 +167,7 @@ def _batch(keys: list, places: list) -> pa.RecordBatch:
 def _sorted(held: dict[bytes, list], depth: int) -> Iterator[pa.RecordBatch]:
     """Ranges that repeats cover, at every place of every segment of one shard."""
     bodies = list(held)
+    trim()
     out: list[tuple[int, int, int, int]] = []
     for body, hit in zip(bodies, repeated_starts(bodies, np.array([len(held[b]) for b in bodies], np.int64), depth)):
         if len(hit):
@@ -213,7 +214,7 @@ def without_repeats(docs: DataFrame, depth: int = DEPTH, text: str = "text") ->
 
     span = T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))
     schema = T.StructType([joined.schema["rest"], T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
-    out = joined.mapInArrow(strip, schema)
+    out = joined.mapInArrow(thrifty(strip), schema)
     return out.select(*[F.col("rest")[c].alias(c) for c in docs.columns if c != text], "n_bytes", "spans", "kept")
 
 
@@ -245,7 +246,7 @@ def cut_repeats(docs: DataFrame, depth: int = DEPTH, text: str = "text") -> Data
                 yield pa.record_batch([piece.column("rest"), pa.array(kept, pa.string())], ["rest", "text"])
 
     schema = T.StructType([joined.schema["rest"], T.StructField("text", T.StringType())])
-    out = joined.mapInArrow(strip, schema)
+    out = joined.mapInArrow(thrifty(strip), schema)
     return out.select(*[F.col("text").alias(c) if c == text else F.col("rest")[c].alias(c) for c in docs.columns])
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoline.llm.common import ALNUM, LOWER, crc_mod, hash_spans, hash_word, sliced, text_bytes, word_spans
+from chronoline.llm.common import ALNUM, LOWER, crc_mod, hash_spans, hash_word, sliced, text_bytes, thrifty, word_spans
 
 #: Bounds of the training sample: labelled rows, and characters of a row.
 TRAIN_ROWS, TRAIN_CHARS = 12_000, 30_000
@@ -274,10 +274,10 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
     def score(batches):
         for batch in batches:
-            for piece in sliced(batch, "text", 4 << 20):
+            for piece in sliced(batch, "text", 1 << 20):
                 yield pa.record_batch([piece.column("key"), pa.array(given.value.score(piece.column("text")), pa.float64())], ["key", "score"])
 
-    return rows.mapInArrow(score, f"key {rows.schema['key'].dataType.simpleString()}, score double").withColumnRenamed("key", key)
+    return rows.mapInArrow(thrifty(score), f"key {rows.schema['key'].dataType.simpleString()}, score double").withColumnRenamed("key", key)
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
@@ -289,9 +289,9 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text
 
     def keep(batches):
         for batch in batches:
-            for piece in sliced(batch, text, 4 << 20):
+            for piece in sliced(batch, text, 1 << 20):
                 kept = piece.filter(pa.array(given.value.score(piece.column(text)) < threshold))
                 if kept.num_rows:
                     yield pa.RecordBatch.from_arrays(kept.columns, names=target.names)
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(thrifty(keep), docs.schema)
