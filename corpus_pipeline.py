@@ -16,28 +16,44 @@ from chronoline.llm.common import stage_table
 from chronoline.llm.queries import RANKS, bpe_digests, read
 
 
+#: Rows of an Arrow batch: whole texts and token lists are long, and both sides hold batches outside the heap.
+ARROW_ROWS = "1000"
+
+
+def _sized(spark: SparkSession) -> None:
+    """Smaller Arrow batches, unless the session has a setting of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # Spark's default
+        spark.conf.set(name, ARROW_ROWS)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under the threshold; the model learns from labelled documents among ``docs``."""
+    _sized(spark)
     return toxicity.keep_clean(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each group that SimHash links connect."""
+    _sized(spark)
     return simhash.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that stand elsewhere too; n_chars follows the text."""
+    _sized(spark)
     return suffixdedup.cut_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark rule does not flag."""
+    _sized(spark)
     return decontaminate.keep_clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digests of ids and of the decoded text."""
+    _sized(spark)
     path = public_tokenizers.path(RANKS)
     return bpe_digests(bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path), "ids")
 
