@@ -30,6 +30,8 @@ both("j07_bus_to_rail", f"SELECT a.station_id AS a, b.station_id AS b, round({_K
 both("j08_least_walk", "SELECT a, b, min(walk) AS walk FROM (SELECT a, b, walk FROM {foot} UNION ALL SELECT a, b, walk + 1 FROM {foot} UNION ALL SELECT b, a, walk FROM {foot}) x GROUP BY a, b")
 both("j09_as_of_next", "SELECT s.station_id, q.since, min(c.dep_t) AS next_dep FROM {stn} s CROSS JOIN (VALUES (480), (720), (1200)) AS q(since) LEFT JOIN {conn} c ON c.dep_s = s.station_id AND c.dep_t >= q.since GROUP BY s.station_id, q.since")
 both("j09_as_of_last", "SELECT e.event_id, max_by(p.value, p.event_id) AS before FROM {ev} e JOIN {ev} p ON e.user_id = p.user_id AND p.event_id < e.event_id AND p.event_id >= e.event_id - 500 GROUP BY e.event_id")
+# The statement above looks back 500 ids only; this one takes the latest earlier event, however far back.
+both("j09_as_of_last_whole", "SELECT event_id, before FROM (SELECT event_id, last_value(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM {ev}) x WHERE place > 1")
 
 _BAND = "coalesce((SELECT min_by(b.yen, b.ord) FROM band b WHERE b.company = l.company AND ceil(l.km) <= b.max_km), (SELECT max_by(b.yen, b.ord) FROM band b WHERE b.company = l.company))"
 
