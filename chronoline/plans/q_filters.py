@@ -151,17 +151,29 @@ both("o07_lower_bound", "SELECT q.since, min(c.dep_t) AS first_dep, count(c.dep_
 both("o08_feature_sort", "SELECT dep_s, n FROM (SELECT dep_s, n, row_number() OVER (ORDER BY n DESC, dep_s) AS r FROM (SELECT dep_s, count(*) AS n FROM {conn} GROUP BY dep_s) x) y WHERE r <= 20")
 both("u01_service_keys", "SELECT trip_id, 'minus' AS what FROM (SELECT trip_id FROM {trip} WHERE cal = 1 EXCEPT SELECT trip_id FROM {trip} WHERE type_id = 0) x UNION ALL SELECT trip_id, 'union' FROM (SELECT trip_id FROM {trip} WHERE cal = 2 UNION SELECT trip_id FROM {trip} WHERE type_id = 1) y")
 both("u02_footpath_diff", "SELECT 'added' AS what, a, b FROM (SELECT a, b FROM {foot} WHERE walk <= 9 EXCEPT SELECT a, b FROM {foot} WHERE a % 2 = 0) x UNION ALL SELECT 'removed', a, b FROM (SELECT a, b FROM {foot} WHERE a % 2 = 0 EXCEPT SELECT a, b FROM {foot} WHERE walk <= 9) y")
+
+
+def _merged(ev):
+    from chronoline.operators import graph
+
+    p = ev.select(F.col("trip_id").alias("t"), F.col("station_id").alias("s")).distinct()
+    links = p.join(p.groupBy("t").agg(F.min("s").alias("m")), "t").select(F.col("m").alias("a"), F.col("s").alias("b"))
+    return graph.components(links).select(F.col("node").alias("s"), F.col("component").alias("merged"))
+
+
 @op(
     "u03_overlap_merge",
     "WITH RECURSIVE pairs AS (SELECT DISTINCT trip_id AS t, station_id AS s FROM ev WHERE station_id < 6 AND trip_id % 100 < 9), r(s, seen) AS (SELECT s, s FROM pairs UNION SELECT r.s, b.s FROM r JOIN pairs a ON r.seen = a.s JOIN pairs b ON a.t = b.t) SELECT s, min(seen) AS merged FROM r GROUP BY s",
 )
 def overlap_merge(n: Network):
     """Station groups that share a trip, merged until none overlaps."""
-    from chronoline.operators import graph
+    return _merged(n.ev.where("station_id < 6 and trip_id % 100 < 9"))
 
-    p = n.ev.where("station_id < 6 and trip_id % 100 < 9").select(F.col("trip_id").alias("t"), F.col("station_id").alias("s")).distinct()
-    links = p.join(p.groupBy("t").agg(F.min("s").alias("m")), "t").select(F.col("m").alias("a"), F.col("s").alias("b"))
-    return graph.components(links).select(F.col("node").alias("s"), F.col("component").alias("merged"))
+
+@op("u03_overlap_merge_whole")
+def overlap_merge_whole(n: Network):
+    """The same over all trips and stations; tests hold it against brute force."""
+    return _merged(n.ev)
 
 
 both("u04_sibling_minutes", "SELECT DISTINCT dep_s, dep_t FROM {conn} c WHERE line = 'view' AND NOT EXISTS (SELECT 1 FROM {conn} d WHERE d.line = 'click' AND d.dep_s = c.dep_s AND d.dep_t = c.dep_t)")

@@ -25,3 +25,14 @@ def on(spark, tmp_path):
 def test_as_of_last_has_no_bound(on):
     events = [(1, 7, 1, 10, 1), (2, 8, 1, 10, 1), (400, 7, 1, 20, 2), (2000, 7, 1, 30, 3), (90000, 8, 1, 40, 3)]
     assert sorted(map(tuple, on("j09_as_of_last_whole", events))) == [(400, 1.0), (2000, 400.0), (90000, 2.0)]
+
+
+def test_overlap_merge_takes_all_stations_and_days(on):
+    stations = {(1, 1): [3, 50], (2, 20): [50, 99], (3, 31 - 1): [7, 8], (4, 2): [1], (5, 25): [8, 42], (6, 3): [60]}
+    events = [(100 * u + i, u, day, 10 + i, s) for (u, day), group in stations.items() for i, s in enumerate(group)]
+    groups = [set(g) for g in stations.values()]
+    for _ in groups:  # brute force: join groups that overlap
+        groups = [set().union(*[h for h in groups if g & h]) for g in groups]
+    want = {s: min(g) for g in groups for s in g}
+    assert want == {3: 3, 50: 3, 99: 3, 7: 7, 8: 7, 42: 7, 1: 1, 60: 60}
+    assert {r.s: r.merged for r in on("u03_overlap_merge_whole", events)} == want
