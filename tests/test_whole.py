@@ -36,3 +36,11 @@ def test_overlap_merge_takes_all_stations_and_days(on):
     want = {s: min(g) for g in groups for s in g}
     assert want == {3: 3, 50: 3, 99: 3, 7: 7, 8: 7, 42: 7, 1: 1, 60: 60}
     assert {r.s: r.merged for r in on("u03_overlap_merge_whole", events)} == want
+
+
+def test_gap_probe_asks_every_one_way_pair(on):
+    # Trip u runs 69 + u -> 70 + u, which no footpath joins; trip 99 runs back from 99 to 70 at the day's end.
+    events = [(10 * u + i, u, 1, 10 * u + 3 * i, 69 + u + i) for u in range(1, 30) for i in (0, 1)]
+    events += [(5000, 99, 1, 1000, 99), (5001, 99, 1, 1100, 70)]
+    got = {(r.req >> 32, r.req & 0xFFFFFFFF) for r in on("g14_gap_probe", events)}
+    assert got == {(70 + u, 69 + u) for u in range(1, 30)} | {(70, 99)}
