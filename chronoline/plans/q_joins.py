@@ -12,9 +12,15 @@ from chronoline.plans.registry import both, op
 _KM = "2 * 6371.0 * asin(sqrt(power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2)))"
 
 both("j02_transfer_join", "SELECT a.arr_s AS station, count(*) AS transfers FROM {conn} a JOIN {conn} b ON a.arr_s = b.dep_s AND a.arr_t + 4 <= b.dep_t AND b.dep_t <= a.arr_t + 15 AND a.trip_id <> b.trip_id GROUP BY a.arr_s")
+# Every later transfer counts: departures from a minute on, less those of the arriving trip itself.
+both(
+    "j02_transfer_join_whole",
+    "WITH m AS (SELECT s, t, sum(arrs) AS arrs, sum(deps) AS deps FROM (SELECT arr_s AS s, arr_t + 4 AS t, 1 AS arrs, 0 AS deps FROM {conn} UNION ALL SELECT dep_s, dep_t, 0, 1 FROM {conn}) x GROUP BY s, t), p AS (SELECT s, arrs * sum(deps) OVER (PARTITION BY s ORDER BY t DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM m UNION ALL SELECT a.arr_s, -1 FROM {conn} a JOIN {conn} b ON a.arr_s = b.dep_s AND a.trip_id = b.trip_id AND a.arr_t + 4 <= b.dep_t) SELECT s AS station, CAST(sum(n) AS BIGINT) AS transfers FROM p GROUP BY s HAVING sum(n) > 0",
+)
 both("j03_trip_attributes", "SELECT c.trip_id, c.seq, t.cal, k.company FROM {conn} c JOIN {trip} t ON c.trip_id = t.trip_id JOIN {company} k ON t.line = k.line")
 both("j04_footpath_expansion", "SELECT c.trip_id, c.seq, f.b AS station, CAST(c.arr_t + f.walk AS INT) AS at FROM {conn} c JOIN (SELECT a, b, walk FROM {foot} UNION ALL SELECT b, a, walk FROM {foot}) f ON c.arr_s = f.a WHERE c.dep_t < 200")
 
+both("j04_footpath_expansion_whole", "SELECT c.trip_id, c.seq, f.b AS station, CAST(c.arr_t + f.walk AS INT) AS at FROM {conn} c JOIN (SELECT a, b, walk FROM {foot} UNION ALL SELECT b, a, walk FROM {foot}) f ON c.arr_s = f.a")
 
 @op("j05_near_pairs", f"SELECT a.station_id AS a, b.station_id AS b, round({_KM}, 6) AS km FROM stn a JOIN stn b ON a.station_id < b.station_id WHERE {_KM} <= 0.4")
 def near_pairs(n: Network):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronoline.operators import fares, graph, journeys
+from chronoline.plans import q_sources
 from chronoline.plans.adapter import Network
 from chronoline.plans.registry import both, op
 
@@ -151,6 +152,11 @@ def best_as_json(n: Network):
 
 
 both("q13_assigned_times", "SELECT t.trip_id, t.seq, min(c.dep_t) AS board FROM {st} t LEFT JOIN {conn} c ON c.dep_s = t.station_id AND c.dep_t >= t.t + 3 WHERE t.seq <= 2 GROUP BY t.trip_id, t.seq")
+# All stops; without a later departure, half the station's headway (as in q15) after the walk.
+both(
+    "q13_assigned_times_whole",
+    "WITH d AS (SELECT s, m, asked, min(dep) OVER (PARTITION BY s ORDER BY m RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS board FROM (SELECT DISTINCT dep_s AS s, dep_t AS m, dep_t AS dep, 0 AS asked FROM {conn} UNION ALL SELECT DISTINCT station_id, t + 3, CAST(NULL AS INT), 1 FROM {st}) x), h AS (SELECT dep_s, CASE WHEN count(*) >= 2 THEN (max(dep_t) - min(dep_t)) * 1.0E0 / (count(*) - 1) ELSE 15.0E0 END AS headway FROM {conn} WHERE dep_t BETWEEN 600 AND 960 GROUP BY dep_s) SELECT t.trip_id, t.seq, coalesce(d.board, t.t + 3 + CAST(floor(coalesce(h.headway, 15.0E0) / 2 + 0.5E0) AS INT)) AS board, CAST(d.board IS NOT NULL AS BOOLEAN) AS from_timetable FROM {st} t JOIN d ON d.s = t.station_id AND d.m = t.t + 3 AND d.asked = 1 LEFT JOIN h ON h.dep_s = t.station_id",
+)
 both("q14_next_departure", "SELECT dep_s, line, min(dep_t) AS next_dep FROM {conn} WHERE dep_t >= 700 GROUP BY dep_s, line")
 both("q15_headway", "SELECT dep_s, CASE WHEN count(*) >= 2 THEN round((max(dep_t) - min(dep_t)) * 1.0E0 / (count(*) - 1), 6) ELSE 15.0E0 END AS headway FROM {conn} WHERE dep_t BETWEEN 600 AND 960 GROUP BY dep_s")
 both("q16_company_runs", "SELECT user_id, company, count(*) AS runs FROM (SELECT user_id, ts, coalesce(company, 'other') AS company, lag(coalesce(company, 'other')) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM (SELECT e.user_id, e.ts, CASE WHEN k.company = 'Coast' THEN NULL ELSE k.company END AS company FROM {ev} e LEFT JOIN {company} k ON e.event_type = k.line) v) x WHERE prev IS NULL OR prev <> company GROUP BY user_id, company")
@@ -221,7 +227,12 @@ def readings(n: Network):
     return n.spark.createDataFrame([("シンジュク",), ("おおさか",), ("きょうと",), ("ホッカイドウ",), ("じゅんじ",)], "kana string").select("kana", kana.hepburn("kana").alias("romaji"))
 
 
-both("m28_round_trip", "SELECT a.trip_id, CAST(a.sig = b.sig AS BOOLEAN) AS same FROM (SELECT trip_id, @list(station_id; seq)@ AS sig FROM {st} GROUP BY trip_id) a FULL OUTER JOIN (SELECT trip_id, @list(station_id; t, seq)@ AS sig FROM {st} GROUP BY trip_id) b ON a.trip_id = b.trip_id")
+
+@op("m28_round_trip", "SELECT a.trip_id, CAST(a.sig = b.sig AS BOOLEAN) AS same FROM (SELECT trip_id, @list(station_id; seq)@ AS sig FROM {st} GROUP BY trip_id) a FULL OUTER JOIN (SELECT trip_id, @list(station_id; t, seq)@ AS sig FROM {st} GROUP BY trip_id) b ON a.trip_id = b.trip_id")
+def round_trip(n: Network):
+    return q_sources.round_trip(q_sources.times(n), q_sources.unpacked_stops(n))
+
+
 both("m29_external_buckets", "SELECT CASE WHEN abs(fare - other) = 0 THEN 'exact' WHEN abs(fare - other) <= 110 THEN 'near' WHEN abs(fare - other) <= 500 THEN 'far' ELSE 'off' END AS bucket, count(*) AS n, count_if(abs(took - hops * 60) <= 10) AS on_time FROM (SELECT hops * 180 AS fare, hops * 150 + 30 AS other, arr - dep AS took, hops FROM {leg}) x GROUP BY 1")
 both("m30_leg_existence", "SELECT a.trip_id, a.seq, bool_or(abs(a.dep_t - b.dep_t) <= 2) AS found FROM {conn} a JOIN {conn} b ON a.dep_s = b.dep_s AND a.arr_s = b.arr_s AND a.trip_id <> b.trip_id GROUP BY a.trip_id, a.seq")
 both("m32_rounded_key_join", "SELECT a.station_id, b.station_id AS other FROM {stn} a JOIN {stn} b ON round(a.lat, 2) = round(b.lat, 2) AND round(a.lon, 2) = round(b.lon, 2) AND a.station_id < b.station_id")

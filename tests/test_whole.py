@@ -1,6 +1,9 @@
 """Queries that take the whole job, on small event tables whose answers are counted by hand or by brute force."""
 
 import datetime
+import math
+import random
+from collections import Counter
 
 import pytest
 
@@ -44,3 +47,57 @@ def test_gap_probe_asks_every_one_way_pair(on):
     events += [(5000, 99, 1, 1000, 99), (5001, 99, 1, 1100, 70)]
     got = {(r.req >> 32, r.req & 0xFFFFFFFF) for r in on("g14_gap_probe", events)}
     assert got == {(70 + u, 69 + u) for u in range(1, 30)} | {(70, 99)}
+
+
+def trips(seed=3):
+    rng = random.Random(seed)
+    events, e = [], 0
+    for u in range(1, 25):
+        for minute in sorted(rng.sample(range(100, 1400), rng.randrange(2, 7))):
+            e += 1
+            events.append((e, u, 1, minute, rng.randrange(12)))
+    stops = {}
+    for _, u, _, minute, s in events:
+        stops.setdefault(u * 100 + 1, []).append((s, minute))
+    conn = [(t, i + 1, *a, *b) for t, x in stops.items() for i, (a, b) in enumerate(zip(x, x[1:])) if a[0] != b[0]]
+    return events, stops, conn
+
+
+def test_transfers_of_any_wait(on):
+    events, _, conn = trips()
+    want = Counter(a[4] for a in conn for b in conn if a[4] == b[2] and a[5] + 4 <= b[3] and a[0] != b[0])
+    assert {r.station: r.transfers for r in on("j02_transfer_join_whole", events)} == want
+
+
+def test_footpaths_at_any_time(on):
+    events, _, conn = trips()
+    got = on("j04_footpath_expansion_whole", events)
+    assert {(r.trip_id, r.seq) for r in got} == {c[:2] for c in conn}  # each of these stations has a neighbour
+    assert max(r.at for r in got) > 1000
+
+
+def test_assigned_times_of_all_stops_and_without_departure(on):
+    events, stops, conn = trips()
+    got = {(r.trip_id, r.seq): (r.board, r.from_timetable) for r in on("q13_assigned_times_whole", events)}
+    want = {}
+    for t, x in stops.items():
+        for i, (s, minute) in enumerate(x):
+            later = [c[3] for c in conn if c[2] == s and c[3] >= minute + 3]
+            mid = [c[3] for c in conn if c[2] == s and 600 <= c[3] <= 960]
+            headway = (max(mid) - min(mid)) / (len(mid) - 1) if len(mid) > 1 else 15
+            want[t, i + 1] = (min(later), True) if later else (minute + 3 + math.floor(headway / 2 + 0.5), False)
+    assert got == want and not all(found for _, found in want.values())
+
+
+def test_round_trip_and_baseline_see_changes(spark, on):
+    from chronoline.plans import q_sources
+
+    form = "trip_id long, seq long, station_id int, arr int, dep int"
+    rows = [(101, 1, 5, None, 10), (101, 2, 6, 20, None), (201, 1, 5, None, 30), (201, 2, 7, 40, None)]
+    there = spark.createDataFrame(rows, form)
+    moved = spark.createDataFrame([*rows[:3], (201, 2, 8, 40, None), (301, 1, 5, None, 1)], form)
+    assert {r.trip_id: r.same for r in q_sources.round_trip(there, moved).collect()} == {101: True, 201: False, 301: False}
+    assert sorted(map(tuple, q_sources.differences(there, moved).collect())) == [(201, 2), (301, 1)]
+    events, stops, _ = trips()
+    assert {r.trip_id: r.same for r in on("m28_round_trip", events)} == dict.fromkeys(stops, True)
+    assert on("s32_golden_diff", events) == []
