@@ -14,7 +14,9 @@ from chronoline.llm.common import stage_table
 
 # Fixed values: (verdict, host and path).
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-DAMPING, ROUNDS, TOLERANCE = 0.85, 30, 1e-4
+DAMPING = 0.85
+#: Scores are exact to this share of the threshold.
+EXACT = 1e-3
 #: A host is blocked by the graph if its distrust is at least this and more than its trust.
 THRESHOLD = 0.02
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,27 +54,28 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     )
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = 1e-12) -> DataFrame:
     """(host, rank): personalised PageRank over edges (src, dst, n) from seeds (host, seed), whose seeds sum to 1.
 
-    A host passes on its rank by its links' share; a host without links passes nothing.  Ends
-    after ``rounds`` rounds or once ranks change by less than ``tolerance`` in all.
+    A host passes on its rank by its links' share; a host without links passes nothing.  Each
+    round passes on what the last one brought, at most ``damping`` of it.  Ends once all that
+    later rounds can bring, to any host, is under ``tolerance``; raises if ``rounds`` run out before.
     """
     if edges.isEmpty():
         return seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))
     total = edges.groupBy("src").agg(F.sum("n").alias("total"))
     share = stage_table(edges.join(total, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), "share")
-    rank = stage_table(seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank")), "rank")
-    for _ in range(rounds):
-        passed = share.join(rank, share["src"] == rank["host"]).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("part"))
-        base = seeds.select("host", (F.col("seed") * (1 - damping)).alias("part"))
-        new = passed.unionByName(base).groupBy("host").agg(F.sum("part").alias("rank"))
-        new = stage_table(new, "rank")
-        moved = new.withColumnRenamed("rank", "now").join(rank, "host", "full").agg(F.sum(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("rank", F.lit(0.0))))).first()[0]
-        rank = new
-        if (moved or 0.0) < tolerance:
-            break
-    return rank
+    part = F.col("seed") * (1 - damping)
+    rank = stage_table(seeds.select("host", part.alias("rank"), part.alias("fresh")), "rank")
+    left = rank.agg(F.sum("fresh")).first()[0] or 0.0
+    while left * damping / (1 - damping) >= tolerance and left:
+        if rounds is not None and (rounds := rounds - 1) < 0:
+            raise RuntimeError("ranks did not settle")
+        brought = share.join(rank.where("fresh > 0"), share["src"] == rank["host"]).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("fresh") * F.col("share")) * damping).alias("rank"))
+        new = rank.withColumn("fresh", F.lit(0.0)).unionByName(brought.withColumn("fresh", F.col("rank")))
+        rank = stage_table(new.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("fresh").alias("fresh")), "rank")
+        left = rank.agg(F.sum("fresh")).first()[0] or 0.0
+    return rank.select("host", "rank")
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -90,13 +93,17 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, key: str
     edges = stage_table(host_edges(pages, url, html), "edges")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
 
+    pages_all, least = by_host.agg(F.sum("n"), F.min("n")).first()
+    pages_all, least = pages_all or 1, least or 1
+    # A rank counts most for the smallest host, so the tolerance shrinks as the pages grow in number.
+    tolerance = EXACT * threshold * least / pages_all
+
     def ranks(column: str, graph: DataFrame, name: str) -> DataFrame:
         total = by_host.agg(F.sum(column)).first()[0] or 1
         seeds = by_host.where(F.col(column) > 0).select("host", (F.col(column) / F.lit(total)).alias("seed"))
         # Seeds weigh by their pages; the score is the rank against the host's share of all pages.
-        return spread(graph, seeds).select("host", F.col("rank").alias(name))
+        return spread(graph, seeds, tolerance=tolerance).select("host", F.col("rank").alias(name))
 
-    pages_all = by_host.agg(F.sum("n")).first()[0] or 1
     score = (
         by_host.join(ranks("good", edges, "t"), "host", "left")
         .join(ranks("bad", back, "d"), "host", "left")

@@ -131,6 +131,32 @@ def test_distrust_reaches_hosts_that_link_to_blocked_ones(spark):
 
 
 # -- 3 -------------------------------------------------------------------------------------
+def test_distrust_does_not_depend_on_the_number_of_seeds(spark):
+    from chronoline.llm import urls
+
+    link = lambda host: f'<a href="http://{host}/de/1">x</a>'
+    pages = [(i, f"http://s{i}.com/de/1", "") for i in range(3000)]  # blocked seeds, of which one has a link to it
+    chain = ["s0.com", *[f"h{k}.net" for k in range(1, 7)]]
+    pages += [(3000 + k, f"http://{chain[k]}/a", link(chain[k - 1])) for k in range(1, 7)]
+    pages += [(4000 + i, "http://h2.net/b", "") for i in range(300)]  # a large host in between has a small score of its own
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    n = len(pages)
+    for k in range(1, 7):
+        want = 0.15 * 0.85**k / 3000 * n / (301 if k == 2 else 1)
+        assert got[3000 + k].distrust == pytest.approx(want, abs=urls.EXACT * urls.THRESHOLD)
+        assert got[3000 + k].verdict == ("allow" if k == 2 else "block")
+
+
+def test_rank_goes_past_thirty_hosts_or_raises(spark):
+    from chronoline.llm import urls
+
+    edges = spark.createDataFrame([(f"h{k}", f"h{k + 1}", 1) for k in range(36)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("h0", 1.0)], "host string, seed double")
+    assert {r.host: r.rank for r in urls.spread(edges, seeds).collect()} == pytest.approx({f"h{k}": 0.15 * 0.85**k for k in range(37)})
+    with pytest.raises(RuntimeError):
+        urls.spread(edges, seeds, rounds=2)
+
+
 def test_toxicity_learns_and_never_reads_other_columns(spark):
     from chronoline.llm import toxicity
 
