@@ -448,6 +448,19 @@ def test_ppm_costs_and_predictions(docs, nothing, rows):
     assert {r.lang_pred for r in language.identify(docs, empty).collect()} == {"und"}
 
 
+def test_ppm_learns_more_languages_than_the_frequent_ones(spark, nothing):
+    from chronoline.llm import language
+
+    rng, rows = random.Random(4), []
+    for k in range(80):
+        letters = [chr(0x4E00 + 20 * k + i) for i in range(20)]
+        rows += [(len(rows) + i, " ".join("".join(rng.choices(letters, k=4)) for _ in range(30)), f"l{k:02}") for i in range(4 if k < 70 else 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert model.names == sorted({r[2] for r in rows}) and len(model.names) == 80
+    assert {r.doc_id: r.lang_pred for r in language.identify(docs, model).collect()} == {r[0]: r[2] for r in rows}
+
+
 # -- 9 -------------------------------------------------------------------------------------
 def test_licence_places_equal_plain_comparison(spark, nothing):
     from chronoline.llm import licenses
