@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,30 +32,109 @@ _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one if none is set."""
+    """The folder that driver and executors share.
+
+    A local session without one gets a private folder; a cluster without one is an error.
+    """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="chronoline-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """This application's own folder below the shared one."""
+    return f"{shared_dir(spark)}/chronoline/{spark.sparkContext.applicationId}"
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/chronoline/{name}-{uuid.uuid4().hex}"
+    path = f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucket_table(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder, dealt into buckets by ``key``: later joins and groups on it shuffle the other side only.
+
+    A lost task reads the written rows again, so rows that are numbered while they are written keep their numbers.
+    """
+    spark = df.sparkSession
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    # Not fewer than the shuffle's partitions, or Spark would deal the rows anew.
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("path", f"{stage_folder(spark)}/{table}").bucketBy(buckets, key).saveAsTable(table)
+    out = spark.table(table).select("*")
+    out.schema  # resolved: the files outlive the catalogue's entry
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def drop_stage_tables(spark: SparkSession) -> None:
-    """Delete every table that ``stage_table`` wrote in this session's shared folder."""
+    """Delete the tables that ``stage_table`` wrote in this application; other applications' stay."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/chronoline")
+    path = jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Shipped:
+    """A value that tasks read through ``.value``: broadcast as bytes that need no package to load.
+
+    Spark pickles a broadcast value's classes by reference, which would ask executors for a copy
+    of this package; cloudpickle takes classes of registered packages by value.
+    """
+
+    def __init__(self, spark: SparkSession, value):
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        # A worker keeps one broadcast object from task to task, and on it what was loaded.
+        if not hasattr(self._bytes, "loaded"):
+            self._bytes.loaded = cloudpickle.loads(self._bytes.value)
+        return self._bytes.loaded
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers as bytes: the bytes of all values apart, compressed; the bytes a value in front."""
+    size = x.dtype.itemsize
+    planes = np.ascontiguousarray(x.astype(x.dtype.newbyteorder("<"))).view(np.uint8).reshape(-1, size).T.tobytes()
+    return bytes([size]) + len(planes).to_bytes(8, "little") + squeezed(planes)
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    size, n = b[0], int.from_bytes(b[1:9], "little")
+    raw = np.frombuffer(loosened(b[9:], n), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(raw.T).view(f"<u{size}").ravel()
+
+
+def squeezed(raw: bytes) -> bytes:
+    return pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+
+
+def loosened(raw: bytes, size: int) -> bytes:
+    return pa.decompress(raw, size, codec="zstd", asbytes=True) if size else b""
+
+
+def boxed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under helper names ``_0, _1, ...`` and the helper name of each column (of namesakes the first).
+
+    Names with dots or those that an operator uses itself can then not clash with anything.
+    """
+    helper = [f"_{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*helper), dict(zip(docs.columns[::-1], helper[::-1]))
+
+
+def unboxed(rest: Column, docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` out of a struct of its helper names."""
+    return [rest[f"_{i}"].alias(c) for i, c in enumerate(docs.columns)]
+
+
 def trim() -> None:
     """Give freed memory back to the system; Python workers live on between tasks and stages."""
     try:

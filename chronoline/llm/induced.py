@@ -91,10 +91,11 @@ class Sorter:
         self.cap = cap
         sizes = np.fromiter(map(len, strings), np.int64, len(strings))
         self.ends = np.cumsum(sizes + 1) - 1  # places of the separators
-        text = np.zeros(int(self.ends[-1]) + 1 if len(strings) else 0, np.int32)
+        # Sixteen bits a value: numpy sorts those by radix.
+        text = np.zeros(int(self.ends[-1]) + 1 if len(strings) else 0, np.int16)
         keep = np.ones(len(text), bool)
         keep[self.ends] = False
-        text[keep] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int32) + 1
+        text[keep] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int16) + 1
         self.text = text
 
     def sort(self) -> tuple[np.ndarray, np.ndarray]:
@@ -105,19 +106,20 @@ class Sorter:
             return np.zeros(0, np.int64), np.zeros(0, np.int16)
         s, run = _types(text)
         s[self.ends] = True
-        lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
-        # Separators are LMS by definition, also that of an empty string.
-        lms = np.union1d(lms, self.ends)
+        seed = np.zeros(len(text), bool)
+        seed[1:] = s[1:] & ~s[:-1]
+        seed[self.ends] = True  # separators are LMS by definition, also that of an empty string
+        lms = np.flatnonzero(seed)
         order = lms[self._rank_lms(lms)]
         keys = 257
-        heads = np.searchsorted(text[order], np.arange(keys + 1))
+        heads = np.append(0, np.cumsum(np.bincount(text[order], minlength=keys)))
         values = self._neighbour_values(order)
         pos, val = self._scan(text, ~s, run, [order[heads[k] : heads[k + 1]] for k in range(keys)], [values[heads[k] : heads[k + 1]] for k in range(keys)], rising=True)
         # The L suffixes, largest first, seed the second scan.
         left = ~s[pos]
         back_pos, back_val = self._reverse(pos, val, left)
-        fall = -text[back_pos]
-        by_key = [slice(int(np.searchsorted(fall, -k, "left")), int(np.searchsorted(fall, -k, "right"))) for k in range(keys)]
+        tails = np.append(0, np.cumsum(np.bincount(text[back_pos], minlength=keys)[::-1]))[::-1]
+        by_key = [slice(tails[k + 1], tails[k]) for k in range(keys)]
         pos, val = self._scan(text, s, run, [back_pos[by_key[k]] for k in range(keys)], [back_val[by_key[k]] for k in range(keys)], rising=False)
         return pos, val
 
@@ -153,8 +155,9 @@ class Sorter:
                     first = text[pos]
                     later = first > key if rising else (first < key) & (first > 0)
                     if later.any():
-                        order = np.argsort(first[later], kind="stable")
-                        f, t = first[later][order], np.stack([pos[later], rank[later]], 1)[order]
+                        at = np.flatnonzero(later)
+                        at = at[np.argsort(first[at], kind="stable")]
+                        f, t = first[at], np.stack([pos[at], rank[at]], 1)
                         cut = np.flatnonzero(np.diff(f, prepend=-1))
                         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(f)]):
                             queue.push(int(f[a]), t[a:b])
@@ -238,7 +241,10 @@ class Sorter:
             alive[order] = np.repeat(length > 1, length)
             k += 6
             active = active[alive & (size[idx] > k)]
-        names[live] = np.unique(group, return_inverse=True)[1] + 1
+        # A group's name is the number of smaller suffixes, so the taken numbers rise with the order.
+        taken = np.zeros(len(live), bool)
+        taken[group] = True
+        names[live] = np.cumsum(taken)[group]
         return names
 
     def _by_names(self, names: np.ndarray) -> np.ndarray:
@@ -288,14 +294,15 @@ def repeated_starts(strings: list[bytes], weights: np.ndarray, depth: int) -> li
         return []
     sorter = Sorter(strings, depth)
     pos, val = sorter.sort()
-    owner = np.searchsorted(sorter.ends, pos)
-    begin = np.concatenate([[0], sorter.ends[:-1] + 1])
-    enough = sorter.ends[owner] - pos >= depth
+    sizes = np.diff(sorter.ends, prepend=-1)
+    left = np.repeat(sorter.ends, sizes) - np.arange(len(sorter.text))
+    weight = np.repeat(weights, sizes)
     first = np.flatnonzero(val < depth)  # a new class where the common prefix falls short
-    total = np.add.reduceat(weights[owner], first) if len(first) else np.zeros(0, np.int64)
-    many = np.repeat(total >= 2, np.diff(np.append(first, len(pos)))) & enough
-    hit_owner, hit = owner[many], pos[many] - begin[owner[many]]
-    order = np.lexsort([hit, hit_owner])
-    cut = np.searchsorted(hit_owner[order], np.arange(len(strings) + 1))
-    hit = hit[order]
-    return [hit[cut[i] : cut[i + 1]] for i in range(len(strings))]
+    total = np.add.reduceat(weight[pos], first) if len(first) else np.zeros(0, np.int64)
+    many = pos[np.repeat(total >= 2, np.diff(np.append(first, len(pos))))]
+    hit = np.zeros(len(sorter.text), bool)
+    hit[many] = left[many] >= depth
+    at = np.flatnonzero(hit)
+    begin = sorter.ends - sizes + 1
+    cut = np.append(np.searchsorted(at, begin), len(at)).tolist()
+    return [at[a:b] - c for a, b, c in zip(cut, cut[1:], begin.tolist())]

@@ -12,6 +12,7 @@ to the places of their segments.
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoline.llm.common import mix, sliced, stage_table, text_bytes, thrifty, trim
+from chronoline.llm.common import boxed, mix, ragged, sliced, stage_table, text_bytes, thrifty, trim
 from chronoline.llm.induced import repeated_starts
 
 DEPTH, K = 200, 32
@@ -28,6 +29,8 @@ DEPTH, K = 200, 32
 SHARD_BYTES = 5 << 18
 #: A least hash with more segments than this deals them further by a second least hash.
 HOT = 2000
+#: Places of a shard that wait in memory for the sort; more wait in the task's scratch folder.
+PLACES = 1_000_000
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
 
 
@@ -76,11 +79,12 @@ def segments(raw: np.ndarray, at: np.ndarray, depth: int = DEPTH, seed: int = 1)
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
     """(h1, h2, text, rest): two hashes that tell rows apart (equal rows share them), the text, and the other columns in a struct."""
-    others = [c for c in docs.columns if c != text]
-    rest = F.struct(*[F.col(c) for c in others]) if others else F.struct(F.lit(0).alias("_"))
-    body = F.col(text)
-    plain = [F.col(f.name) for f in docs.schema if f.name != text and "map<" not in f.dataType.simpleString()]
-    return docs.select(F.xxhash64(body, body.isNull(), *plain).alias("h1"), F.hash(F.lit(7), body, *plain).alias("h2"), body.alias("text"), rest.alias("rest"))
+    rows, named = boxed(docs)
+    others = [F.col(c) for c in rows.columns if c != named[text]]
+    rest = F.struct(*others) if others else F.struct(F.lit(0).alias("_"))
+    body = F.col(named[text])
+    plain = [F.col(f.name) for f in rows.schema if f.name != named[text] and "map<" not in f.dataType.simpleString()]
+    return rows.select(F.xxhash64(body, body.isNull(), *plain).alias("h1"), F.hash(F.lit(7), body, *plain).alias("h2"), body.alias("text"), rest.alias("rest"))
 
 
 def repeated_ranges(keyed: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -131,19 +135,25 @@ def repeated_ranges(keyed: DataFrame, depth: int = DEPTH) -> DataFrame:
     dealt = pairs.mapInArrow(thrifty(cut), f"least long, body binary, places {places}").repartition(_shards(spark), "least").sortWithinPartitions("least")
 
     def shard(batches) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, list] = {}
-        size, last = 0, None
+        held, weights, places, size, last = {}, [], _Places(), 0, None
         for batch in batches:
-            for least, body, where in zip(batch.column("least").to_pylist(), batch.column("body").to_pylist(), batch.column("places").to_pylist()):
+            where = batch.column("places")
+            at = where.offsets.to_numpy().astype(np.int64)
+            count = np.diff(at).tolist()
+            index, lo = np.zeros(batch.num_rows, np.int64), 0
+            for i, (least, body) in enumerate(zip(batch.column("least").to_pylist(), batch.column("body").to_pylist())):
                 if least != last and size > SHARD_BYTES:
-                    yield from _sorted(held, depth)
-                    held, size = {}, 0
+                    places.add(index[lo:i], at[lo : i + 1], where.values)
+                    yield from _sorted(held, weights, places, depth)
+                    held, weights, places, size, lo = {}, [], _Places(), 0, i
                 last = least
-                if body not in held:
-                    held[body] = []
+                k = index[i] = held.setdefault(body, len(held))
+                if k == len(weights):
+                    weights.append(0)
                     size += len(body)
-                held[body] += [(p["h1"], p["h2"], p["start"]) for p in where]
-        yield from _sorted(held, depth)
+                weights[k] += count[i]
+            places.add(index[lo:], at[lo:], where.values)
+        yield from _sorted(held, weights, places, depth)
 
     ranges = dealt.mapInArrow(thrifty(shard), "h1 long, h2 int, lo int, hi int")
     return ranges.groupBy("h1", "h2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
@@ -164,19 +174,58 @@ def _batch(keys: list, places: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array([k for k, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), struct)], ["least", "body", "places"])
 
 
-def _sorted(held: dict[bytes, list], depth: int) -> Iterator[pa.RecordBatch]:
+class _Places:
+    """(segment, h1, h2, start) of a shard's segments, in the task's scratch folder beyond a bound."""
+
+    KIND = np.dtype([("segment", np.int32), ("h1", np.int64), ("h2", np.int32), ("start", np.int32)])
+
+    def __init__(self):
+        self.held, self.rows, self.file = [], 0, None
+
+    def add(self, segment: np.ndarray, at: np.ndarray, flat: pa.StructArray) -> None:
+        lo, hi = int(at[0]), int(at[-1])
+        out = np.zeros(hi - lo, self.KIND)
+        out["segment"] = np.repeat(segment, np.diff(at))
+        for name in ("h1", "h2", "start"):
+            out[name] = flat.field(name).to_numpy()[lo:hi]
+        self.held.append(out)
+        self.rows += len(out)
+        if self.rows > PLACES:
+            if self.file is None:
+                self.file = tempfile.TemporaryFile(prefix="places-")
+            for x in self.held:
+                self.file.write(x.tobytes())
+            self.held, self.rows = [], 0
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        if self.file is not None:
+            self.file.seek(0)
+            while raw := self.file.read(20_000 * self.KIND.itemsize):
+                yield np.frombuffer(raw, self.KIND)
+            self.file.close()
+        if self.held:
+            whole = np.concatenate(self.held)
+            for i in range(0, len(whole), 20_000):
+                yield whole[i : i + 20_000]
+
+
+def _sorted(held: dict[bytes, int], weights: list[int], places: _Places, depth: int) -> Iterator[pa.RecordBatch]:
     """Ranges that repeats cover, at every place of every segment of one shard."""
-    bodies = list(held)
     trim()
-    out: list[tuple[int, int, int, int]] = []
-    for body, hit in zip(bodies, repeated_starts(bodies, np.array([len(held[b]) for b in bodies], np.int64), depth)):
+    runs, lo, hi = np.zeros(len(held), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, hit in enumerate(repeated_starts(list(held), np.array(weights, np.int64), depth)):
         if len(hit):
             cut = np.flatnonzero(np.concatenate([[True], np.diff(hit) > depth, [True]]))
-            runs = list(zip(hit[cut[:-1]].tolist(), (hit[cut[1:] - 1] + depth).tolist()))
-            out += [(h1, h2, start + lo, start + hi) for h1, h2, start in held[body] for lo, hi in runs]
-    for i in range(0, len(out), 50_000):
-        c = list(zip(*out[i : i + 50_000]))
-        yield pa.record_batch([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32())], ["h1", "h2", "lo", "hi"])
+            runs[k] = len(cut) - 1
+            lo.append(hit[cut[:-1]])
+            hi.append(hit[cut[1:] - 1] + depth)
+    begin, lo, hi = np.cumsum(runs) - runs, np.concatenate(lo), np.concatenate(hi)
+    for some in places:
+        n = runs[some["segment"]]
+        if n.any():
+            at, p = ragged(begin[some["segment"]], n), np.repeat(some, n)
+            columns = [p["h1"], p["h2"], (p["start"] + lo[at]).astype(np.int32), (p["start"] + hi[at]).astype(np.int32)]
+            yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in columns], ["h1", "h2", "lo", "hi"])
 
 
 def _union(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -196,6 +245,7 @@ def without_repeats(docs: DataFrame, depth: int = DEPTH, text: str = "text") ->
     in the same text or another; all is judged on the input.  spans: the maximal removed runs.
     A null text is empty; texts shorter than ``depth`` stay whole.  Rows that repeat as a whole
     are places of their own, so their long passages all go.  An empty table gives no rows.
+    Columns of the input that have the name of a new one give way to it.
     """
     keyed = _keyed(docs, text)
     joined = keyed.join(repeated_ranges(keyed, depth), ["h1", "h2"], "left").select("rest", "text", "spans")
@@ -215,7 +265,10 @@ def without_repeats(docs: DataFrame, depth: int = DEPTH, text: str = "text") ->
     span = T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))
     schema = T.StructType([joined.schema["rest"], T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
     out = joined.mapInArrow(thrifty(strip), schema)
-    return out.select(*[F.col("rest")[c].alias(c) for c in docs.columns if c != text], "n_bytes", "spans", "kept")
+    new = ("n_bytes", "spans", "kept")
+    at = docs.columns.index(text)
+    rest = [F.col("rest")[f"_{i}"].alias(c) for i, c in enumerate(docs.columns) if i != at and c not in new]
+    return out.select(*rest, *new)
 
 
 def cut_repeats(docs: DataFrame, depth: int = DEPTH, text: str = "text") -> DataFrame:
@@ -247,7 +300,8 @@ def cut_repeats(docs: DataFrame, depth: int = DEPTH, text: str = "text") -> Data
 
     schema = T.StructType([joined.schema["rest"], T.StructField("text", T.StringType())])
     out = joined.mapInArrow(thrifty(strip), schema)
-    return out.select(*[F.col("text").alias(c) if c == text else F.col("rest")[c].alias(c) for c in docs.columns])
+    at = docs.columns.index(text)
+    return out.select(*[F.col("text").alias(c) if i == at else F.col("rest")[f"_{i}"].alias(c) for i, c in enumerate(docs.columns)])
 
 
 def digests(stripped: DataFrame, key: str = "doc_id") -> DataFrame:
