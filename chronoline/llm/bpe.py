@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding.
 
-``encode`` splits every text into pre-tokens with their positions, sends each
-block's distinct words to the task that owns the word, merges each distinct word
-there once, sends the ids back to the block and reassembles them by position.
+``encode`` splits every text into pre-tokens with their positions, once, and writes
+them block by block to a table in the shared folder.  It sends each block's distinct
+words to the task that owns the word, merges each distinct word there once, sends the
+ids back to the block and reassembles them by position.
 ``decode`` joins ids with the token-byte table.  Rows of one block travel packed:
 a block's words for one owner are one row, so a frequent word costs one entry a
 block however often it occurs, and no key can grow hot.
@@ -21,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoline.llm.common import sliced, thrifty, trim
+from chronoline.llm.common import bucket_table, loosened, packed, ragged, sliced, squeezed, thrifty, trim, unpacked
 
 #: Bytes of text in a block; bounds the memory of a task, not the result.
 BLOCK_BYTES = 12 << 20
@@ -106,19 +107,6 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[i
         yield first + number, keys, list(known), codes
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """The four bytes of all values apart, so that the shuffle's codec packs the high ones."""
-    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _unplanes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
-
-def _pack(words: list[bytes]) -> tuple[bytes, bytes]:
-    return b"".join(words), _planes(np.array([len(w) for w in words], np.uint32))
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids array<int>) of every row of ``docs``.
 
@@ -133,27 +121,42 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
         raise ValueError("the vocabulary must hold every single byte")
     given = spark.sparkContext.broadcast(ranks)  # one vocabulary file: fixed size
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    # The scan's own partition number: a task's number would differ under a union.
     parts = rows.withColumn("part", F.spark_partition_id())
     kind = rows.schema["key"].dataType.simpleString()
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
 
-    def words_out(batches):
-        for block, _, words, _ in _blocks(batches, pattern):
+    def cut(batches):
+        for block, keys, words, codes in _blocks(batches, pattern):
             raw = [w.encode() for w in words]
-            owner = np.fromiter((zlib.crc32(w) % owners for w in raw), np.int64, len(raw))
-            order = np.argsort(owner, kind="stable")
-            cuts = np.flatnonzero(np.diff(owner[order], prepend=-1)).tolist() + [len(raw)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                body, sizes = _pack([raw[i] for i in order[lo:hi]])
-                yield pa.record_batch([pa.array([int(owner[order[lo]])], pa.int32()), pa.array([block], pa.int64()), pa.array([_planes(order[lo:hi])], pa.binary()), pa.array([body], pa.binary()), pa.array([sizes], pa.binary())], ["owner", "block", "numbers", "body", "sizes"])
+            body = b"".join(raw)
+            sizes = np.fromiter(map(len, raw), np.uint32, len(raw))
+            counts = np.fromiter(map(len, codes), np.uint32, len(codes))
+            columns = [pa.array([block], pa.int64()), pa.array([keys], pa.list_(kinds))]
+            columns += [pa.array([x], pa.binary()) for x in (packed(counts), packed(np.concatenate(codes)), squeezed(body), packed(sizes))]
+            yield pa.record_batch(columns, ["block", "keys", "counts", "codes", "body", "sizes"])
+
+    def words_out(batches):
+        for batch in batches:
+            for block, body, sizes in zip(*(batch.column(c).to_pylist() for c in ("block", "body", "sizes"))):
+                stops = np.cumsum(unpacked(sizes), dtype=np.int64)
+                body = loosened(body, int(stops[-1]) if len(stops) else 0)
+                raw = [body[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
+                owner = np.fromiter((zlib.crc32(w) % owners for w in raw), np.int64, len(raw))
+                order = np.argsort(owner, kind="stable")
+                cuts = np.flatnonzero(np.diff(owner[order], prepend=-1)).tolist() + [len(raw)]
+                for lo, hi in zip(cuts, cuts[1:]):
+                    words = [raw[i] for i in order[lo:hi]]
+                    sent = packed(order[lo:hi].astype(np.uint32)), squeezed(b"".join(words)), packed(np.fromiter(map(len, words), np.uint32, len(words)))
+                    yield pa.record_batch([pa.array([int(owner[order[lo]])], pa.int32()), pa.array([block], pa.int64()), *[pa.array([x], pa.binary()) for x in sent]], ["owner", "block", "numbers", "body", "sizes"])
 
     def merged(batches):
         memo: dict[bytes, list[int]] = {}
         for batch in batches:
             for block, numbers, body, sizes in zip(*(batch.column(c).to_pylist() for c in ("block", "numbers", "body", "sizes"))):
+                sizes = unpacked(sizes)
+                body = loosened(body, int(sizes.sum()))
                 found, at = [], 0
-                for n in _unplanes(sizes).tolist():
+                for n in sizes.tolist():
                     word = body[at : at + n]
                     at += n
                     if (ids := memo.get(word)) is None:
@@ -163,44 +166,33 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
                     found.append(ids)
                 flat = np.fromiter((i for ids in found for i in ids), np.uint32)
                 count = np.fromiter(map(len, found), np.uint32, len(found))
-                yield pa.record_batch([pa.array([block], pa.int64()), pa.array([None], kinds), pa.array([numbers], pa.binary()), pa.array([_planes(flat)], pa.binary()), pa.array([_planes(count)], pa.binary())], ["block", "key", "numbers", "flat", "count"])
-
-    def positions(batches):
-        for block, keys, _, codes in _blocks(batches, pattern):
-            for lo in range(0, len(keys), 512):
-                part = codes[lo : lo + 512]
-                empty = [None] * len(part)
-                yield pa.record_batch([pa.array([block] * len(part), pa.int64()), pa.array(keys[lo : lo + 512], kinds), pa.array([_planes(c) for c in part], pa.binary()), pa.array(empty, pa.binary()), pa.array(empty, pa.binary())], ["block", "key", "numbers", "flat", "count"])
-
-    def reassembled(table: pa.Table) -> pa.Table:
-        numbers, flat, count = (table.column(c).to_pylist() for c in ("numbers", "flat", "count"))
-        lists = [i for i, x in enumerate(flat) if x is not None]
-        texts = [i for i, x in enumerate(flat) if x is None]
-        out_ids, ends = [], [0]
-        if lists:
-            which = np.concatenate([_unplanes(numbers[i]) for i in lists]).astype(np.int64)
-            sizes = np.concatenate([_unplanes(count[i]) for i in lists]).astype(np.int64)
-            ids = np.concatenate([_unplanes(flat[i]) for i in lists]).astype(np.int32)
-            begin, size = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
-            begin[which], size[which] = np.cumsum(sizes) - sizes, sizes
-        for i in texts:
-            words = _unplanes(numbers[i]).astype(np.int64)
-            if len(words):
-                n = size[words]
-                stop = np.cumsum(n)
-                out_ids.append(ids[np.arange(int(stop[-1])) + np.repeat(begin[words] - (stop - n), n)])
-            ends.append(ends[-1] + (len(out_ids[-1]) if len(words) else 0))
+                yield pa.record_batch([pa.array([block], pa.int64()), *[pa.array([x], pa.binary()) for x in (numbers, packed(flat), packed(count))]], ["block", "numbers", "flat", "count"])
+
+    def reassembled(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        out_keys, out_ids, ends = [], [], [np.zeros(1, np.int64)]
+        which, sizes, ids = (np.concatenate([np.zeros(0, np.uint32), *map(unpacked, theirs.column(c).to_pylist())]).astype(np.int64) for c in ("numbers", "count", "flat"))
+        begin, size = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+        begin[which], size[which] = np.cumsum(sizes) - sizes, sizes
+        for keys, counts, codes in zip(*(mine.column(c).to_pylist() for c in ("keys", "counts", "codes"))):
+            words = unpacked(codes).astype(np.int64)
+            n = size[words]
+            out_ids.append(ids[ragged(begin[words], n)].astype(np.int32))
+            stops = np.concatenate([[0], np.cumsum(n)])[np.cumsum(unpacked(counts), dtype=np.int64)]
+            out_keys += keys
+            ends.append(stops + ends[-1][-1])
         trim()
-        flat_ids = pa.array(np.concatenate(out_ids) if out_ids else np.zeros(0, np.int32))
-        return pa.table({"key": table.column("key").take(pa.array(texts, pa.int64())), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat_ids)})
+        flat = pa.array(np.concatenate([np.zeros(0, np.int32), *out_ids]))
+        return pa.table({"key": pa.array(out_keys, kinds), "ids": pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), flat)})
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = to_arrow_type(rows.schema["key"].dataType)
-    row = f"block long, key {kind}, numbers binary, flat binary, count binary"
-    ids = parts.mapInArrow(thrifty(words_out), "owner int, block long, numbers binary, body binary, sizes binary").repartition(owners, "owner").mapInArrow(thrifty(merged), row)
-    places = parts.mapInArrow(thrifty(positions), row)
-    return ids.unionByName(places).groupBy("block").applyInArrow(reassembled, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    cuts = parts.mapInArrow(thrifty(cut), f"block long, keys array<{kind}>, counts binary, codes binary, body binary, sizes binary")
+    blocks = bucket_table(cuts, "block", "bpe-blocks")
+    sent = blocks.select("block", "body", "sizes").mapInArrow(thrifty(words_out), "owner int, block long, numbers binary, body binary, sizes binary")
+    ids = sent.repartition(owners, "owner").mapInArrow(thrifty(merged), "block long, numbers binary, flat binary, count binary")
+    places = blocks.select("block", "keys", "counts", "codes")
+    return places.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(reassembled, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, ranks_path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
