@@ -17,7 +17,6 @@ Words are told apart by 64-bit hashes, the followers of one word by 48 bits of t
 from __future__ import annotations
 
 import gc
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoline.llm.common import LOWER, NON_SPACE, crc_mod, hash_spans, sliced, stage_table, text_bytes, word_spans
+from chronoline.llm.common import LOWER, NON_SPACE, bucket_table, crc_mod, hash_spans, packed, sliced, stage_table, text_bytes, unpacked, word_spans
 
 BLOCK_BYTES = 6 << 20
 #: Counts with a Good-Turing discount; larger counts lose DISCOUNT.
@@ -38,25 +37,13 @@ SPREAD = np.uint64(1 << 63)
 _M48 = np.uint64((1 << 48) - 1)
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """The bytes of all values apart, deflated; the bytes a value in front."""
-    size = x.dtype.itemsize
-    return bytes([size]) + zlib.compress(np.ascontiguousarray(x.astype(x.dtype.newbyteorder("<"))).view(np.uint8).reshape(-1, size).T.tobytes(), 1)
-
-
-def _unpack(b: bytes) -> np.ndarray:
-    size = b[0]
-    raw = np.frombuffer(zlib.decompress(b[1:]), np.uint8).reshape(size, -1)
-    return np.ascontiguousarray(raw.T).view(f"<u{size}").ravel()
-
-
 def _pack_rising(x: np.ndarray) -> bytes:
-    return _pack(np.diff(x, prepend=np.uint64(0)))
+    return packed(np.diff(x, prepend=np.uint64(0)))
 
 
 def _unpack_rising(b: bytes) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return np.cumsum(_unpack(b), dtype=np.uint64)
+        return np.cumsum(unpacked(b), dtype=np.uint64)
 
 
 def _owner(hashes: np.ndarray, owners: int) -> np.ndarray:
@@ -146,10 +133,6 @@ class Discounts:
         return self.d[np.where(r > GT, 0, r)]
 
 
-def _block_schema(kind: str) -> str:
-    return f"block long, owner int, payload binary, keys array<{kind}>, held binary, ends binary, codes binary, hashes binary"
-
-
 class Katz:
     """Counts of a corpus and the scores of its texts; see ``score``."""
 
@@ -160,62 +143,57 @@ class Katz:
         rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), held_out.alias("held")).withColumn("part", F.spark_partition_id())
         self.kind, self.arrow = rows.schema["key"].dataType.simpleString(), to_arrow_type(rows.schema["key"].dataType)
         self.owners = 2 * max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-        self.blocks, self.train_tokens, self.distinct, self.train_texts = self._count_words(rows)
+        self.blocks, self.counts, self.train_tokens, self.distinct, self.train_texts = self._count_words(rows)
         self.answers, self.discounts, self.spread = self._count_pairs()
 
-    def _count_words(self, rows: DataFrame) -> tuple[DataFrame, int, int, int]:
+    def _count_words(self, rows: DataFrame) -> tuple[DataFrame, DataFrame, int, int, int]:
         owners, arrow, kind = self.owners, self.arrow, self.kind
 
-        def ask(batches):
+        def own(batches):
             for block, b in _blocks(batches):
+                yield pa.record_batch([pa.array([block], pa.int64()), pa.array([b.keys], pa.list_(arrow)), *[pa.array([x], pa.binary()) for x in (packed(b.held.astype(np.uint8)), packed(b.ends.astype(np.uint64)), packed(b.codes.astype(np.uint32)), _pack_rising(b.hashes))]], _NAMES)
+
+        # Written once: whatever the order of rows in a second scan, a block stays what it is.
+        blocks = bucket_table(rows.mapInArrow(own, f"block long, keys array<{kind}>, held binary, ends binary, codes binary, hashes binary"), "block", "katz-blocks")
+
+        def ask(batches):
+            for block, b in _read(batches):
                 train = ~b.held[b.text_of()]
-                count = np.bincount(b.codes[train], minlength=len(b.hashes)).astype(np.uint32)
+                count = np.bincount(b.codes[train], minlength=len(b.hashes)).astype(np.uint64)
                 cut = np.searchsorted(_owner(b.hashes, owners), np.arange(owners + 1))
                 used = [o for o in range(owners) if cut[o] < cut[o + 1]]
-                yield pa.record_batch([pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int64()), pa.array([_pack_rising(b.hashes[cut[o] : cut[o + 1]]) for o in used], pa.binary()), pa.array([_pack(count[cut[o] : cut[o + 1]]) for o in used], pa.binary())], ["owner", "block", "hashes", "counts"])
+                yield pa.record_batch([pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int64()), pa.array([_pack_rising(b.hashes[cut[o] : cut[o + 1]]) for o in used], pa.binary()), pa.array([packed(count[cut[o] : cut[o + 1]]) for o in used], pa.binary())], ["owner", "block", "hashes", "counts"])
 
         def add(table: pa.Table) -> pa.Table:
             hashes = [_unpack_rising(x) for x in table.column("hashes").to_pylist()]
-            counts = [_unpack(x) for x in table.column("counts").to_pylist()]
-            _, which = np.unique(np.concatenate(hashes), return_inverse=True)
-            total = np.bincount(which, np.concatenate(counts)).astype(np.uint32)
+            counts = [unpacked(x) for x in table.column("counts").to_pylist()]
+            total, which = _added(np.concatenate(hashes), np.concatenate(counts))
             out = np.split(total[which], np.cumsum([len(h) for h in hashes])[:-1])
             stats = np.array([total.sum(dtype=np.uint64), (total > 0).sum()], np.uint64)
-            none = [None] * (len(out) + 1)
-            owner = table.column("owner")[0].as_py()
-            return pa.table([pa.array([*table.column("block").to_pylist(), -1], pa.int64()), pa.array([owner] * len(none), pa.int32()), pa.array([*map(_pack, out), _pack(stats)], pa.binary()), pa.array(none, pa.list_(arrow)), *[pa.array(none, pa.binary())] * 4], _NAMES)
+            return pa.table([pa.array([*table.column("block").to_pylist(), -1], pa.int64()), pa.array([table.column("owner")[0].as_py()] * (len(out) + 1), pa.int32()), pa.array([*map(packed, out), packed(stats)], pa.binary())], ["block", "owner", "payload"])
 
-        def own(batches):
-            for block, b in _blocks(batches):
-                yield pa.record_batch([pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.array([None], pa.binary()), pa.array([b.keys], pa.list_(arrow)), pa.array([_pack(b.held.astype(np.uint8))], pa.binary()), pa.array([_pack(b.ends.astype(np.uint32))], pa.binary()), pa.array([_pack(b.codes.astype(np.uint32))], pa.binary()), pa.array([_pack_rising(b.hashes)], pa.binary())], _NAMES)
-
-        def join(table: pa.Table) -> pa.Table:
-            if table.column("block")[0].as_py() < 0:
-                return table
-            owner = table.column("owner").to_pylist()
-            order = sorted(range(len(owner)), key=owner.__getitem__)
-            mine, payload = table.slice(order[0], 1), table.column("payload")
-            counts = np.concatenate([_unpack(payload[i].as_py()) for i in order[1:]])
-            return mine.set_column(2, "payload", pa.array([_pack(counts)], pa.binary()))
-
-        schema = _block_schema(kind)
-        answered = rows.mapInArrow(ask, "owner int, block long, hashes binary, counts binary").groupBy("owner").applyInArrow(add, schema)
-        blocks = stage_table(answered.unionByName(rows.mapInArrow(own, schema)).groupBy("block").applyInArrow(join, schema), "katz-blocks")
-        stats = [_unpack(r.payload) for r in blocks.where("block < 0").select("payload").collect()]  # one row an owner
+        asked = blocks.mapInArrow(ask, "owner int, block long, hashes binary, counts binary")
+        counts = stage_table(asked.groupBy("owner").applyInArrow(add, "block long, owner int, payload binary"), "katz-words")
+        stats = [unpacked(r.payload) for r in counts.where("block < 0").select("payload").collect()]  # one row an owner
         texts = rows.where(~F.col("held")).count()
         _release(self.spark)
-        return blocks.where("block >= 0"), int(sum(int(s[0]) for s in stats)), int(sum(int(s[1]) for s in stats)), texts
+        lists = counts.where("block >= 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("owner", "payload")))["payload"].alias("payload"))
+        return blocks, lists, int(sum(int(s[0]) for s in stats)), int(sum(int(s[1]) for s in stats)), texts
+
+    def counted(self) -> DataFrame:
+        """Blocks with the counts of their words, a list of answers by owner; the blocks are not shuffled."""
+        return self.blocks.join(self.counts.hint("merge"), "block")
 
     def _count_pairs(self) -> tuple[DataFrame, Discounts, dict[int, tuple]]:
         owners, total, texts = self.owners, self.train_tokens, self.train_texts
 
         def ask(batches):
-            for b, count in _read(batches):
-                h, w, which = b[1].pairs()
-                train = ~b[1].held[b[1].text_of()]
-                times = np.bincount(which[train], minlength=len(h)).astype(np.uint32)
-                owner, hh = _pair_owner(b[1], count, h, w, owners, total, texts)
-                order = np.lexsort([b[1].hashes[w] & _M48, hh, owner])
+            for (block, b), count in _read_counted(batches):
+                h, w, which = b.pairs()
+                train = ~b.held[b.text_of()]
+                times = np.bincount(which[train], minlength=len(h)).astype(np.uint64)
+                owner, hh = _pair_owner(b, count, h, w, owners, total, texts)
+                order = np.lexsort([b.hashes[w] & _M48, hh, owner])
                 owner, hh, h, w, times = owner[order], hh[order], h[order], w[order], times[order]
                 cut = np.searchsorted(owner, np.arange(owners + 1))
                 for o in range(owners):
@@ -224,13 +202,13 @@ class Katz:
                         continue
                     new = np.flatnonzero(np.concatenate([[True], hh[s][1:] != hh[s][:-1]]))
                     size = np.diff(np.append(new, s.stop - s.start)).astype(np.uint32)
-                    follow = (b[1].hashes[w[s]] & _M48).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                    yield pa.record_batch([pa.array([o], pa.int32()), pa.array([b[0]], pa.int64()), pa.array([_pack_rising(hh[s][new])], pa.binary()), pa.array([_pack(size)], pa.binary()), pa.array([np.ascontiguousarray(follow.T).tobytes()], pa.binary()), pa.array([_pack(times[s])], pa.binary()), pa.array([_pack(count[w[s]])], pa.binary())], ["owner", "block", "histories", "sizes", "words", "times", "counts"])
+                    follow = (b.hashes[w[s]] & _M48).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                    yield pa.record_batch([pa.array([o], pa.int32()), pa.array([block], pa.int64()), pa.array([_pack_rising(hh[s][new])], pa.binary()), pa.array([packed(size)], pa.binary()), pa.array([np.ascontiguousarray(follow.T).tobytes()], pa.binary()), pa.array([packed(times[s])], pa.binary()), pa.array([packed(count[w[s]])], pa.binary())], ["owner", "block", "histories", "sizes", "words", "times", "counts"])
 
         def add(table: pa.Table) -> pa.Table:
             cols = {c: table.column(c).to_pylist() for c in table.column_names}
-            heads, sizes = [_unpack_rising(x) for x in cols["histories"]], [_unpack(x) for x in cols["sizes"]]
-            times, counts = np.concatenate([_unpack(x) for x in cols["times"]]), np.concatenate([_unpack(x) for x in cols["counts"]])
+            heads, sizes = [_unpack_rising(x) for x in cols["histories"]], [unpacked(x) for x in cols["sizes"]]
+            times, counts = np.concatenate([unpacked(x) for x in cols["times"]]), np.concatenate([unpacked(x) for x in cols["counts"]])
             words = []
             for x in cols["words"]:
                 six = np.zeros((len(x) // 6, 8), np.uint8)
@@ -243,7 +221,7 @@ class Katz:
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
             pair = np.empty(len(order), np.int64)
             pair[order] = np.cumsum(new) - 1
-            r = np.bincount(pair, times).astype(np.uint32)
+            r = np.bincount(pair, times).astype(np.uint64)  # sums of doubles are exact up to 2^53
             first = order[new]
             n = len(history)
             owner_head = head_of[first]
@@ -258,29 +236,29 @@ class Katz:
                 spot = where[head_at : head_at + len(head)]
                 lack = np.add.reduceat((got == 0).astype(np.int64), np.cumsum(size.astype(np.int64)) - size) > 0
                 need = spot[lack]
-                rows.append((_pack(got), _pack(np.concatenate([per[:, need].ravel(), over[need], seen[need]]).view(np.uint64)), _pack(np.flatnonzero(lack).astype(np.uint32))))
+                rows.append((packed(got), packed(np.concatenate([per[:, need].ravel(), over[need], seen[need]]).view(np.uint64)), packed(np.flatnonzero(lack).astype(np.uint32))))
                 blocks.append(block)
                 at, head_at = at + m, head_at + len(head)
             cofc = np.array([(r == k).sum() for k in range(GT + 2)], np.uint64)
-            rows.append((_pack(cofc), _pack(np.zeros(0, np.uint64)), _pack(np.zeros(0, np.uint32))))
+            rows.append((packed(cofc), packed(np.zeros(0, np.uint64)), packed(np.zeros(0, np.uint32))))
             blocks.append(-1)
             owner = cols["owner"][0]
             # Histories that are spread over owners are put together by the driver: a bounded number, see _pair_owner.
             split = history >= SPREAD
             if split.any():
-                rows.append((_pack(history[split]), _pack(np.concatenate([per[:, split].ravel(), over[split], seen[split]]).view(np.uint64)), _pack(np.zeros(0, np.uint32))))
+                rows.append((packed(history[split]), packed(np.concatenate([per[:, split].ravel(), over[split], seen[split]]).view(np.uint64)), packed(np.zeros(0, np.uint32))))
                 blocks.append(-2)
             return pa.table([pa.array(blocks, pa.int64()), pa.array([owner] * len(rows), pa.int32()), *[pa.array([x[i] for x in rows], pa.binary()) for i in range(3)]], ["block", "owner", "times", "shares", "which"])
 
-        asked = self.blocks.mapInArrow(ask, "owner int, block long, histories binary, sizes binary, words binary, times binary, counts binary")
+        asked = self.counted().mapInArrow(ask, "owner int, block long, histories binary, sizes binary, words binary, times binary, counts binary")
         answers = stage_table(asked.groupBy("owner").applyInArrow(add, "block long, owner int, times binary, shares binary, which binary"), "katz-answers")
         cofc, spread = np.zeros(GT + 2, np.uint64), {}
         for row in answers.where("block < 0").collect():  # two rows an owner at most
             if row.block == -1:
-                cofc += _unpack(row.times)
+                cofc += unpacked(row.times)
             else:
-                history = _unpack(row.times)
-                for name, part in zip(history.tolist(), _unpack(row.shares).view(np.float64).reshape(GT + 2, -1).T):
+                history = unpacked(row.times)
+                for name, part in zip(history.tolist(), unpacked(row.shares).view(np.float64).reshape(GT + 2, -1).T):
                     spread[name] = spread.get(name, 0) + part
         _release(self.spark)
         return answers.where("block >= 0"), Discounts(cofc), spread
@@ -291,25 +269,25 @@ class Katz:
         discounts, spread = self.discounts, self.spark.sparkContext.broadcast(self.spread)
         norm = total + ADD * (distinct + 1)
 
-        def settle(table: pa.Table) -> pa.Table:
-            owner = table.column("owner").to_pylist()
+        def settle(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+            owner = theirs.column("owner").to_pylist()
             order = sorted(range(len(owner)), key=owner.__getitem__)
-            ((_, b), count) = next(_read([table.slice(order[0], 1)]))
-            cols = {c: table.column(c) for c in ("times", "shares", "which")}
+            ((_, b), count) = next(_read_counted([mine]))
+            cols = {c: theirs.column(c) for c in ("times", "shares", "which")}
             h, w, which = b.pairs()
             place, hh = _pair_owner(b, count, h, w, owners, total, texts)
             sort = np.lexsort([b.hashes[w] & _M48, hh, place])
             r = np.zeros(len(h), np.int64)
-            r[sort] = np.concatenate([_unpack(cols["times"][i].as_py()) for i in order[1:]]) if len(h) else 0
+            r[sort] = np.concatenate([unpacked(cols["times"][i].as_py()) for i in order]) if len(h) else 0
             share = np.full((len(h), GT + 2), np.nan)  # by pair; only unseen ones' are read
             cut = np.searchsorted(place[sort], np.arange(owners + 1))
-            for i in order[1:]:
+            for i in order:
                 o = owner[i]
                 s = sort[cut[o] : cut[o + 1]]
                 new = np.flatnonzero(np.concatenate([[True], hh[s][1:] != hh[s][:-1]]))
-                lack = _unpack(cols["which"][i].as_py())
+                lack = unpacked(cols["which"][i].as_py())
                 values = np.full((len(new), GT + 2), np.nan)
-                values[lack] = _unpack(cols["shares"][i].as_py()).view(np.float64).reshape(GT + 2, -1).T
+                values[lack] = unpacked(cols["shares"][i].as_py()).view(np.float64).reshape(GT + 2, -1).T
                 share[s] = np.repeat(values, np.diff(np.append(new, len(s))), axis=0)
             whole = np.append(count, texts).astype(np.float64)[h]  # c(h)
             unigram = np.log10((count[w] + ADD) / norm)
@@ -331,24 +309,38 @@ class Katz:
                 ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-        blank = [F.lit(None).cast("binary").alias(c) for c in ("times", "shares", "which")]
-        mine = self.blocks.select("*", *blank)
-        theirs = self.answers.select("block", "owner", *[F.lit(None).cast(self.blocks.schema[c].dataType).alias(c) for c in _NAMES[2:]], "times", "shares", "which")
-        out = mine.unionByName(theirs).groupBy("block").applyInArrow(settle, f"key {self.kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        schema = f"key {self.kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        out = self.counted().groupBy("block").cogroup(self.answers.groupBy("block")).applyInArrow(settle, schema)
         return out.withColumnRenamed("key", self.key)
 
 
-_NAMES = ["block", "owner", "payload", "keys", "held", "ends", "codes", "hashes"]
+_NAMES = ["block", "keys", "held", "ends", "codes", "hashes"]
 
 
-def _read(batches) -> Iterator[tuple[tuple[int, _Block], np.ndarray]]:
-    """((block number, block), counts of its words) from rows of the block table."""
+def _read(batches) -> Iterator[tuple[int, _Block]]:
+    """(block number, block) from rows of the block table."""
     for batch in batches:
         for i in range(batch.num_rows):
-            c = {n: batch.column(n)[i].as_py() for n in _NAMES if n != "owner"}
-            held = _unpack(c["held"]).astype(bool)
-            b = _Block(c["keys"], held, _unpack(c["ends"]).astype(np.int64), _unpack(c["codes"]).astype(np.int64), _unpack_rising(c["hashes"]))
-            yield (c["block"], b), _unpack(c["payload"])
+            c = {n: batch.column(n)[i].as_py() for n in _NAMES}
+            held = unpacked(c["held"]).astype(bool)
+            yield c["block"], _Block(c["keys"], held, unpacked(c["ends"]).astype(np.int64), unpacked(c["codes"]).astype(np.int64), _unpack_rising(c["hashes"]))
+
+
+def _read_counted(batches) -> Iterator[tuple[tuple[int, _Block], np.ndarray]]:
+    """The same with the counts of each block's words."""
+    for batch in batches:
+        for found, payload in zip(_read([batch]), batch.column("payload").to_pylist()):
+            yield found, np.concatenate([np.zeros(0, np.uint64), *map(unpacked, payload)])
+
+
+def _added(names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by distinct name, whole to 64 bits, and each name's place among them."""
+    order = np.argsort(names, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = names[order][1:] != names[order][:-1]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return np.add.reduceat(counts[order], np.flatnonzero(new)) if len(order) else counts, which
 
 
 def _pair_owner(b: _Block, count: np.ndarray, h: np.ndarray, w: np.ndarray, owners: int, total: int, texts: int) -> tuple[np.ndarray, np.ndarray]:
