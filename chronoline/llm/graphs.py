@@ -7,6 +7,23 @@ from pyspark.sql import functions as F
 
 from chronoline.llm.common import stage_table
 
+#: Tasks that share the rows of a frequent key.
+SALT = 64
+
+
+def dealt_join(many: DataFrame, one: DataFrame, key: str, by: str, rows: int) -> DataFrame:
+    """``many`` (of about ``rows`` rows) joined on ``key`` with ``one``, where each key stands once with the number n of its rows.
+
+    Keys with more than a quarter of a task's even share are dealt over SALT tasks by the hash of ``by``;
+    there are fewer than four of them a task, which bounds the list of them that is broadcast.
+    """
+    share = rows / (4 * max(8, int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    hot = one.where(F.col("n") > share).select(key, F.lit(True).alias("__hot"))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(SALT))).otherwise(F.lit(0)).cast("int")
+    copies = F.when(F.col("n") > share, F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))
+    salted = many.join(F.broadcast(hot), key, "left").withColumn("__salt", salt).drop("__hot")
+    return salted.join(one.withColumn("__salt", F.explode(copies)), [key, "__salt"]).drop("__salt", "n")
+
 
 def star_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """(node, root): every node of an edge with the smallest node of its component.

@@ -131,7 +131,8 @@ def repeated_ranges(keyed: DataFrame, depth: int = DEPTH) -> DataFrame:
                     yield _batch(list(local), list(local.values()))
 
     places = "array<struct<h1:long,h2:int,start:int>>"
-    pairs = keyed.join(spans, ["h1", "h2"]).select("h1", "h2", "text", "rest", "segments")
+    # The spans are hashed, a few for each text, and the texts stream past them, unsorted.
+    pairs = keyed.join(spans.hint("shuffle_hash"), ["h1", "h2"]).select("h1", "h2", "text", "rest", "segments")
     dealt = pairs.mapInArrow(thrifty(cut), f"least long, body binary, places {places}").repartition(_shards(spark), "least").sortWithinPartitions("least")
 
     def shard(batches) -> Iterator[pa.RecordBatch]:
@@ -248,7 +249,7 @@ def without_repeats(docs: DataFrame, depth: int = DEPTH, text: str = "text") ->
     Columns of the input that have the name of a new one give way to it.
     """
     keyed = _keyed(docs, text)
-    joined = keyed.join(repeated_ranges(keyed, depth), ["h1", "h2"], "left").select("rest", "text", "spans")
+    joined = keyed.join(repeated_ranges(keyed, depth).hint("shuffle_hash"), ["h1", "h2"], "left").select("rest", "text", "spans")
 
     def strip(batches):
         for batch in batches:
@@ -277,7 +278,7 @@ def cut_repeats(docs: DataFrame, depth: int = DEPTH, text: str = "text") -> Data
     A character that a passage covers only in part stays, so the text stays valid.  A null text stays null.
     """
     keyed = _keyed(docs, text)
-    joined = keyed.join(repeated_ranges(keyed, depth), ["h1", "h2"], "left").select("rest", "text", "spans")
+    joined = keyed.join(repeated_ranges(keyed, depth).hint("shuffle_hash"), ["h1", "h2"], "left").select("rest", "text", "spans")
 
     def strip(batches):
         for batch in batches:

@@ -367,8 +367,80 @@ def test_simhash_equals_all_pairs(docs, nothing, rows):
     got = sorted((r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs).collect())
     assert got == want
     assert simhash.near_duplicates(nothing).count() == 0
+
+
+def test_keep_one_equals_all_pairs_of_wide_fingerprints(docs, nothing, rows):
+    from chronoline.llm import simhash
+
+    wide = simhash.sketch(pa.array([r[1] for r in rows], pa.string()))
+    limit = simhash.Plan.wide().limit
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in np.flatnonzero(np.bitwise_count(wide ^ wide[i]).sum(1) <= limit).tolist():
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+    want = sorted({min(rows[i][0] for i in range(len(rows)) if root[i] == k) for k in set(root)})
     kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == want
+    assert simhash.keep_one(nothing).count() == 0
+
+
+def test_wide_fingerprints_estimate_the_similarity_of_shingles():
+    import math
+
+    from chronoline.llm import simhash
+
+    rng = random.Random(3)
+    errors = []
+    for _ in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        other = list(words)
+        for _ in range(rng.randrange(12)):
+            other[rng.randrange(300)] = f"v{rng.randrange(5000)}"
+        a, b = simhash.sketch(pa.array([" ".join(words), "  ".join(other).upper()]))
+        share = int(np.bitwise_count(a ^ b).sum()) / 256
+        cosine = math.cos(math.pi * share)
+        errors.append(cosine / (2 - cosine) - simhash.jaccard(" ".join(words), " ".join(other)))
+    assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.09
+
+
+@pytest.mark.parametrize("hot", [10**9, 40])
+def test_wide_tries_find_near_copies_in_dense_groups(spark, monkeypatch, hot):
+    from chronoline.llm import graphs, simhash
+
+    monkeypatch.setattr(simhash, "HOT", hot)
+    rng = np.random.default_rng(5)
+    plan = simhash.Plan.wide()
+    centres = rng.integers(0, 1 << 63, (8, 4), dtype=np.uint64)
+    fps = [c for c in centres]
+    for c in centres:
+        for _ in range(50):
+            flips = np.packbits(rng.random(256) < 0.06).view(">u8").astype(np.uint64)
+            fps.append(c ^ flips)
+    fps = np.array(fps)
+    found = simhash.spanning_links(spark.createDataFrame([(bytearray(f.astype("<u8").tobytes()),) for f in fps], "fp binary"), plan, len(fps)).collect()
+    root = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in found:
+        a, b = find(bytes(r.a)), find(bytes(r.b))
+        root[max(a, b)] = min(a, b)
+    names = [find(f.astype("<u8").tobytes()) for f in fps]
+    assert len(set(names)) == 8
+    assert all(names[8 + i] == names[i // 50] for i in range(400))
+
+
+def test_joins_deal_frequent_keys_over_tasks(spark):
+    from chronoline.llm import graphs
+
+    many = spark.createDataFrame([(i, 7 if i % 3 else i) for i in range(600)], "row long, k long")
+    one = many.groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 2)
+    got = sorted(tuple(r) for r in graphs.dealt_join(many, one, "k", "row", 600).select("row", "k", "v").collect())
+    assert got == [(i, 7 if i % 3 else i, 14 if i % 3 else 2 * i) for i in range(600)]
 
 
 @pytest.mark.parametrize(("hot", "plan"), [(10**9, (5, 1)), (10**9, (6, 2)), (10, (5, 1)), (10, (7, 3))])

@@ -49,16 +49,22 @@ def test_toxicity(spark, stages):
 
 
 def test_near_copies(stages):
-    before = stages["toxicity"][1]
+    """Exactly the components of near fingerprints, which hold all pairs of clear similarity and none of unlike texts."""
+    before, after = stages["toxicity"][1], stages["simhash_near_dedup"][1]
     keys = sorted(before)
-    values = np.array(simhash._fingerprints(pa.array([before[k] for k in keys], pa.string())), np.uint64)
+    wide = simhash.sketch(pa.array([before[k] for k in keys], pa.string()))
+    limit = simhash.Plan.wide().limit
     root = list(range(len(keys)))
     for i in range(len(keys)):  # in order of keys, so that a root is the smallest key
-        for j in np.flatnonzero(np.bitwise_count(values ^ values[i]) <= simhash.BUDGET).tolist():
+        for j in np.flatnonzero(np.bitwise_count(wide ^ wide[i]).sum(1) <= limit).tolist():
             a, b = root[i], root[j]
             root = [min(a, b) if r in (a, b) else r for r in root]
-    assert set(stages["simhash_near_dedup"][1]) == {keys[r] for r in root}
-    assert all(before[k] == t for k, t in stages["simhash_near_dedup"][1].items())
+    assert set(after) == {keys[r] for r in root}
+    assert all(before[k] == t for k, t in after.items())
+    like = {(a, b): s for i, a in enumerate(keys) for b in keys[i + 1 :] if (s := simhash.jaccard(before[a], before[b])) >= 0.6}
+    assert not any(s >= 0.8 and a in after and b in after for (a, b), s in like.items())
+    near = {k for pair in like for k in pair}
+    assert all(k in after or k in near for k in keys)
 
 
 def test_repeats(stages):
