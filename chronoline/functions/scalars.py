@@ -13,9 +13,24 @@ LINE_NAMES = [
     ("ＪＲ", ""), ("JR", ""), ("東京メトロ", ""), ("都営地下鉄", "都営"), ("京浜急行電鉄", "京急"), ("東武鉄道", "東武"), ("西武鉄道", "西武"),
     ("京成電鉄", "京成"), ("京王電鉄", "京王"), ("小田急電鉄", "小田急"), ("東急電鉄", "東急"), ("相模鉄道", "相鉄"), ("北総鉄道北総線", "北総鉄道"), (" ", ""), ("　", ""),
 ]
+# Operators in front of station names.
 OPERATOR_PREFIX = "^(ＪＲ|京成|京王|京急|京阪|阪急|阪神|近鉄|南海|西鉄|東武|西武|名鉄|東急|小田急|相鉄|東京メトロ|都営)"
+# Kinds of trains that stop everywhere.
 LOCAL_TYPES = ["各停", "各駅停車", "普通", "普通車", ""]
+# Expresses without a charge.
 FREE_EXPRESS = "(準特急|通勤特急|快速特急|直通特急|アクセス特急|区間特急|川越特急)"
+# Trains with a charge, by a name that their kind holds; JR lines first, then private ones.
+PAID_NAMES = [
+    "あずさ", "かいじ", "富士回遊", "はちおうじ", "おうめ", "ひたち", "ときわ", "踊り子", "湘南", "サフィール", "成田エクスプレス", "しおさい", "わかしお", "さざなみ", "しなの", "ひだ", "南紀",
+    "伊那路", "ふじかわ", "サンダーバード", "しらさぎ", "びわこエクスプレス", "らくラク", "はるか", "くろしお", "こうのとり", "きのさき", "まいづる", "はしだて", "スーパーはくと", "はまかぜ",
+    "スーパーいなば", "やくも", "スーパーおき", "スーパーまつかぜ", "北斗", "おおぞら", "とかち", "オホーツク", "大雪", "宗谷", "サロベツ", "カムイ", "ライラック", "すずらん", "ソニック", "にちりん",
+    "ひゅうが", "きりしま", "かもめ", "みどり", "ハウステンボス", "かささぎ", "きらめき", "ゆふ", "九州横断特急", "かわせみ", "やませみ", "海幸山幸", "指宿のたまて箱", "南風", "しまんと", "あしずり",
+    "うずしお", "剣山", "むろと", "しおかぜ", "いしづち", "宇和海", "いなほ", "つがる", "草津", "四万", "あかぎ", "日光", "きぬがわ", "スペーシア",
+    "スカイライナー", "イブニングライナー", "モーニングライナー", "ロマンスカー", "はこね", "さがみ", "えのしま", "ホームウェイ", "モーニングウェイ", "メトロはこね", "ふじさん", "フジサン特急",
+    "富士山ビュー", "ミュースカイ", "りょうもう", "リバティ", "けごん", "きぬ", "ちちぶ", "むさし", "小江戸", "京王ライナー", "拝島ライナー", "泉北ライナー", "ラピート", "りんかん", "こうや", "天空",
+    "スノーモンキー", "ゆけむり", "しまかぜ", "ひのとり", "あをによし",
+]
+# Kinds that only run on weekdays.
 WEEKDAY_ONLY = "^通勤|^Ｒ通勤|^ホームライナー|ウィング|^らくラク|^臨時|^ライナー$"
 WIDE = "".join(chr(c) for c in (*range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B), *range(0xFF10, 0xFF1A)))
 NARROW = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
