@@ -7,8 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,15 +17,34 @@ def undirected(conn: DataFrame, a: str = "dep_s", b: str = "arr_s") -> DataFrame
     return conn.groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(F.count("*").alias("n"))
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """Write and reread in the shared folder, so that a loop's lineage ends."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local session without one gets its own, a cluster has to name one."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="chronoline-")
         sc.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/chronoline/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder below the shared one; it goes when the driver ends."""
+    sc = spark.sparkContext
+    folder = f"{shared_folder(spark)}/chronoline/{sc.applicationId}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return folder
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """Write and reread in the shared folder, so that a loop's lineage ends."""
+    spark = df.sparkSession
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -156,37 +176,193 @@ class Scan:
         return out[::-1]
 
 
-def search(requests: DataFrame, conn: DataFrame, foot: DataFrame, most_rows: int = 5_000_000) -> DataFrame:
+class BatchScan:
+    """The scan of ``Scan`` for many requests at once: one pass over the connections, a column of labels for each request.
+
+    Connections are columns, sorted by departure; a pass begins at the first that any request can reach.
+    """
+
+    FAR = np.iinfo(np.int32).max // 2
+
+    def __init__(self, conn: dict[str, np.ndarray], foot: dict[str, np.ndarray]):
+        order = np.lexsort([conn["seq"], conn["trip_id"], conn["dep_t"]])
+        self.conn = {k: v[order] for k, v in conn.items()}
+        names = np.unique(np.concatenate([conn["dep_s"], conn["arr_s"], foot["a"], foot["b"]]))
+        self.names, self.at = names, {int(n): i for i, n in enumerate(names)}
+        trips, self.trip = np.unique(self.conn["trip_id"], return_inverse=True)
+        self.trips = len(trips)
+        dep, arr = (np.searchsorted(names, self.conn[c]) for c in ("dep_s", "arr_s"))
+        self.rows = list(zip(dep.tolist(), self.conn["dep_t"].tolist(), arr.tolist(), self.conn["arr_t"].tolist(), self.trip.tolist(), self.conn["mode"].tolist(), self.conn["cal"].tolist()))
+        self.walks: dict[int, list[tuple[int, int]]] = {}
+        for x, y, w in zip(np.searchsorted(names, foot["a"]).tolist(), np.searchsorted(names, foot["b"]).tolist(), foot["walk"].tolist()):
+            self.walks.setdefault(x, []).append((y, w))
+            self.walks.setdefault(y, []).append((x, w))
+
+    def query(self, source: np.ndarray, target: np.ndarray, start: np.ndarray, day: np.ndarray) -> None:
+        """Set label, and how each label came about, for requests (day -1: any).  Stations are numbers of this network."""
+        n, r = len(self.names), len(source)
+        column = np.arange(r)
+        self.label = label = np.full((n, r), self.FAR, np.int32)
+        self.on, self.off, self.shift = (np.full((n, r), -1, np.int32) for _ in range(3))
+        self.came, self.walked = np.full((n, r), -1, np.int32), np.zeros((n, r), np.int32)
+        fresh, bus = np.zeros((n, r), bool), np.zeros((n, r), bool)
+        label[source, column], fresh[source, column] = start, True
+        for k in range(r):
+            for s, w in self.walks.get(int(source[k]), ()):
+                label[s, k], self.came[s, k], self.walked[s, k], fresh[s, k] = start[k] + w, source[k], w, True
+        live, deps = np.ones(r, bool), self.conn["dep_t"]
+        for extra in range(Scan.EXTRA_DAYS + 1):
+            if not live.any():
+                break
+            boarded = np.full((self.trips, r), -1, np.int32)
+            shift, open_ = 1440 * extra, live.copy()
+            first = int(np.searchsorted(deps, start[open_].min() - shift, "left"))
+            bound = label[target, column]
+            for i in range(first, len(self.rows)):
+                dep_s, dep, arr_s, arr, trip, mode, cal = self.rows[i]
+                dep, arr = dep + shift, arr + shift
+                open_ &= dep <= bound
+                at, aboard = label[dep_s], boarded[trip]
+                may = open_ & ((aboard >= 0) | (at <= dep)) & (start <= dep)
+                if not may.any():
+                    if not open_.any():
+                        break
+                    continue
+                may &= (day < 0) | (cal >> np.maximum(day, 0) & 1 == 1)
+                need = np.where(fresh[dep_s], 0, Scan.BUS_CHANGE if mode == 1 else np.where(bus[dep_s], Scan.BUS_CHANGE, Scan.CHANGE))
+                steps = may & (aboard < 0) & (at + need <= dep)
+                aboard[steps] = i
+                better = np.flatnonzero(may & (aboard >= 0) & (arr < label[arr_s]))
+                if not len(better):
+                    continue
+                label[arr_s, better], self.on[arr_s, better], self.off[arr_s, better], self.shift[arr_s, better], self.came[arr_s, better] = arr, aboard[better], i, shift, -1
+                bus[arr_s, better], fresh[arr_s, better] = mode == 1, False
+                for s, w in self.walks.get(arr_s, ()):
+                    some = better[arr + w < label[s, better]]
+                    label[s, some], self.came[s, some], self.walked[s, some], self.on[s, some] = arr + w, arr_s, w, -1
+                    bus[s, some], fresh[s, some] = mode == 1, False
+                bound = label[target, column]
+            live &= label[target, column] >= self.FAR
+
+    def legs(self, k: int, source: int, target: int) -> list[tuple]:
+        """Legs of request k as ``Scan.legs`` gives them; empty if not reached."""
+        out, at, guard = [], target, 0
+        c, name = self.conn, lambda s: int(self.names[s])
+        while self.label[at, k] < self.FAR and (self.came[at, k] >= 0 or self.on[at, k] >= 0) and guard < 500:
+            if self.came[at, k] >= 0:
+                out.append(("walk", name(self.came[at, k]), name(at), int(self.walked[at, k])))
+                at = int(self.came[at, k])
+            else:
+                on, off, shift = int(self.on[at, k]), int(self.off[at, k]), int(self.shift[at, k])
+                out.append(("ride", int(c["trip_id"][on]), int(c["dep_s"][on]), int(c["dep_t"][on]) + shift, int(c["arr_s"][off]), int(c["arr_t"][off]) + shift))
+                at = self.rows[on][0]
+            guard += 1
+        return out[::-1]
+
+
+def _columns(df: DataFrame) -> dict[str, np.ndarray]:
+    table = df.toArrow()
+    return {c: table.column(c).to_numpy().astype(np.int64) for c in table.column_names}
+
+
+def search(requests: DataFrame, conn: DataFrame, foot: DataFrame, most_rows: int = 20_000_000, batch: int = 128) -> DataFrame:
     """Earliest arrivals for many requests (req, source, target, start, day) by the exact scan.
 
     Gives (req, dep, arr, rides, walks, path).  The network is a day's timetable, which does not
-    grow with the requests; its size is checked before it is broadcast.  Requests that have no
-    ride, or are not reached, give no row.
+    grow with the requests: its size is checked, and it is broadcast as columns of numbers.  A task
+    answers ``batch`` requests in one pass.  Requests that have no ride, or are not reached, give no row.
     """
     spark = requests.sparkSession
     rows = conn.select("dep_s", "dep_t", "arr_s", "arr_t", "trip_id", "seq", "mode", "cal")
     if (n := rows.count()) > most_rows:
         raise ValueError(f"{n} connections are more than one worker should hold; use reach_rounds")
-    net = spark.sparkContext.broadcast((rows.toPandas(), foot.select("a", "b", "walk").toPandas()))
+    net = spark.sparkContext.broadcast((_columns(rows), _columns(foot.select("a", "b", "walk"))))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scan = Scan(*net.value)
-        for part in parts:
-            out = []
-            for r in part.itertuples(index=False):
-                label = scan.query(r.source, r.target, r.start, None if pd.isna(r.day) else int(r.day))
-                legs = scan.legs(label, r.target)
-                rides = [x for x in legs if x[0] == "ride"]
-                if rides and legs:
-                    first = legs[0]
-                    dep = first[3] if first[0] == "ride" else rides[0][3] - first[3]
-                    path = " ".join(f"{x[1]}:{x[2]}@{x[3]}>{x[4]}@{x[5]}" if x[0] == "ride" else f"w:{x[1]}>{x[2]}+{x[3]}" for x in legs)
-                    out.append((r.req, dep, label[r.target][0], len(rides), len(legs) - len(rides), path))
-            yield pd.DataFrame(out, columns=["req", "dep", "arr", "rides", "walks", "path"])
+        scan = None
+        for whole in parts:
+            scan = scan or BatchScan(*net.value)
+            known = whole[whole["source"].isin(scan.at) & whole["target"].isin(scan.at)]
+            # Requests of about one start share a pass best.
+            known = known.sort_values("start", kind="stable")
+            for lo in range(0, len(known), batch):
+                part, out = known.iloc[lo : lo + batch], []
+                source, target = (part[c].map(scan.at).to_numpy(np.int64) for c in ("source", "target"))
+                scan.query(source, target, part["start"].to_numpy(np.int64), part["day"].fillna(-1).to_numpy(np.int64))
+                for k, (req, s, t) in enumerate(zip(part["req"], source.tolist(), target.tolist())):
+                    legs = scan.legs(k, s, t)
+                    rides = [x for x in legs if x[0] == "ride"]
+                    if rides:
+                        first = legs[0]
+                        dep = first[3] if first[0] == "ride" else rides[0][3] - first[3]
+                        path = " ".join(f"{x[1]}:{x[2]}@{x[3]}>{x[4]}@{x[5]}" if x[0] == "ride" else f"w:{x[1]}>{x[2]}+{x[3]}" for x in legs)
+                        out.append((req, dep, int(scan.label[t, k]), len(rides), len(legs) - len(rides), path))
+                yield pd.DataFrame(out, columns=["req", "dep", "arr", "rides", "walks", "path"])
 
     return requests.select("req", "source", "target", "start", "day").mapInPandas(run, "req long, dep long, arr long, rides long, walks long, path string")
 
 
+def route(edges: pd.DataFrame, source: int, target: int, penalty: float = 6.0, through: frozenset = frozenset(), banned: frozenset = frozenset()) -> dict | None:
+    """The quickest path over (a, b, minutes, line) edges with one label a station, as minutes, path and the lines of its runs.
+
+    banned: pairs (from, to) that may not be used.
+    """
+    near: dict[int, list] = {}
+    for a, b, m, line in edges[["a", "b", "minutes", "line"]].itertuples(index=False, name=None):
+        near.setdefault(a, []).append((b, m, line))
+        near.setdefault(b, []).append((a, m, line))
+    best, came = {source: 0.0}, {}
+    heap: list[tuple[float, int, str]] = [(0.0, source, "")]
+    while heap:
+        d, at, line = heapq.heappop(heap)
+        if d > best[at]:
+            continue
+        if at == target:
+            break
+        for to, m, via in sorted(near.get(at, ())):
+            cost = d + m + (penalty if line and via != line and frozenset((line, via)) not in through else 0.0)
+            if (at, to) not in banned and cost < best.get(to, float("inf")) - 1e-12:
+                best[to], came[to] = cost, (at, via)
+                heapq.heappush(heap, (cost, to, via))
+    if target not in best:
+        return None
+    path, lines = [target], []
+    while path[-1] != source:
+        before, via = came[path[-1]]
+        lines += [via] if not lines or lines[-1] != via else []
+        path.append(before)
+    return {"minutes": best[target], "path": path[::-1], "lines": lines[::-1]}
+
+
+def alternatives(edges: pd.DataFrame, source: int, target: int, k: int = 3, longest: float = 3.0, **rules) -> list[dict]:
+    """Up to ``k`` routes of different lines, the quickest first; others take at most ``longest`` times as long.
+
+    An attempt bans, both ways, the pairs that the routes so far use around a spur point, which moves along one of
+    them; pairs before it that are this route's own stay.
+    """
+    first = route(edges, source, target, **rules)
+    found = [first] if first and len(first["path"]) > 1 else []
+    seen = {tuple(r["lines"]) for r in found}
+    for attempt in range(8 * k if found else 0):
+        if len(found) >= k:
+            break
+        base = found[attempt % len(found)]["path"]
+        spur = int((attempt / len(found) + 1) * len(base) / (2 * k))
+        if not 0 < spur < len(base) - 1:
+            continue
+        gone = set()
+        for r in found:
+            for i, pair in enumerate(zip(r["path"], r["path"][1:])):
+                shared = i < spur and i < len(base) - 1 and pair[0] == base[i]
+                if spur - 1 <= i < spur + 2 and not shared:
+                    gone |= {pair, pair[::-1]}
+        other = route(edges, source, target, banned=frozenset(gone), **rules)
+        if other and tuple(other["lines"]) not in seen and other["minutes"] <= longest * first["minutes"]:
+            seen.add(tuple(other["lines"]))
+            found.append(other)
+    return found
+
+
 def dijkstra_with_changes(edges: pd.DataFrame, source: int, penalty: float = 6.0, through: frozenset = frozenset()) -> dict[int, float]:
     """Least minutes over (a, b, minutes, line) edges with one label a station; a change of line costs ``penalty``."""
     near: dict[int, list] = {}

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from chronoline.operators.graph import settled
+
 DAY = 1440
 
 
@@ -65,9 +67,26 @@ def timetable(conn: DataFrame, station: int, edge_line: DataFrame | None = None)
     return here.withColumn("__r", F.row_number().over(seen)).where("__r = 1").select("dep_t", "line", "type_id", "arr_s", "trip_id")
 
 
-def edge_majority(conn: DataFrame) -> DataFrame:
-    """(dep_s, arr_s, line): the line of most connections between two stations, the smallest name on ties."""
-    return most_frequent(conn, ["dep_s", "arr_s"], "line", "line")
+def edge_majority(conn: DataFrame, seen: Column | None = None) -> DataFrame:
+    """(dep_s, arr_s, line): the line of most connections between two stations; on ties the one with the
+    smallest ``seen``, or the smallest name."""
+    if seen is None:
+        return most_frequent(conn, ["dep_s", "arr_s"], "line", "line")
+    return most_frequent(conn.withColumn("__seen", seen), ["dep_s", "arr_s"], "line", "line", "__seen")
+
+
+def placed(df: DataFrame, order: list, name: str, ties: bool = False) -> DataFrame:
+    """Add each row's place, from 1, in a total order; with ``ties``, equal rows share the first's (a rank).
+
+    Rows are dealt by ranges of the order and written down, so no task holds them all: places within a range, plus
+    the rows of the ranges before, whose numbers are one row a range.
+    """
+    ranged = settled(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).drop("__n")
+    within = W.partitionBy("__part").orderBy(*order)
+    mine = F.rank() if ties else F.row_number()
+    return ranged.withColumn("__mine", mine.over(within)).join(F.broadcast(before), "__part").withColumn(name, (F.col("__mine") + F.col("__before")).cast("long")).drop("__part", "__mine", "__before")
 
 
 def stride_pick(df: DataFrame, keys: list[str], order: list[str], k: int | Column) -> DataFrame:
