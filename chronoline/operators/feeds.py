@@ -39,25 +39,47 @@ def budgeted_cover(feeds: DataFrame, budget: int) -> DataFrame:
     return feeds.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(choose, "feed string, place long, used long")
 
 
-def leg_parts(legs: DataFrame, company: Column | None = None) -> DataFrame:
-    """(trip_id, parts array<struct<company,hops>>): consecutive hops of one company along a leg's stops.
+def signature(trips: DataFrame, feed: str = "feed") -> DataFrame:
+    """(feed, trips, sig): number of trips and a hash of them that does not depend on their order."""
+    cols = [c for c in trips.columns if c != feed]
+    return trips.groupBy(feed).agg(F.count("*").alias("trips"), F.sum(F.xxhash64(*cols).cast("decimal(38,0)")).alias("sig"))
 
-    A hop belongs to the company that both its stops share; else it goes on with the one before.
-    ``company`` maps a station to its company within the fold.
+
+def feed_order(feeds: DataFrame, rounds: int) -> DataFrame:
+    """Add turn: each region's feeds by falling trips, the regions in turn for ``rounds`` rounds; then all others by falling trips."""
+    ranked = feeds.withColumn("rank", F.row_number().over(W.partitionBy("region").orderBy(F.desc("trips"), "feed")))
+    first = F.col("rank") <= rounds
+    key = F.struct(F.when(first, F.col("rank")).otherwise(rounds + 1), F.when(first, F.col("region")).otherwise(""), -F.col("trips"), "feed")
+    return ranked.withColumn("turn", F.row_number().over(W.orderBy(key))).drop("rank")
+
+
+def select_feeds(feeds: DataFrame, budget: int, rounds: int) -> DataFrame:
+    """(feed, turn, place, used, reason): feeds taken in ``feed_order`` while their stops stay within the budget.
+
+    feeds: (feed, region, trips, sig, stops array).  Left out, with the reason: 'empty' without trips,
+    'same as X' with a taken feed's trips, 'budget' where the union of stops would grow beyond it.
+    The choice is sequential by nature; a country's feeds are some hundreds, with tens of thousands of stops.
     """
-    of = lambda s: F.when(s < 40, "Metro").when(s < 70, "Ridge").otherwise("Coast")
-    hops = F.transform(F.sequence(F.lit(1), F.size("stops") - 1), lambda i: F.struct(of(F.element_at("stops", i)["station_id"]).alias("a"), of(F.element_at("stops", i + 1)["station_id"]).alias("b")))
-    kind = "array<struct<company:string,hops:int>>"
-
-    def step(acc, h):
-        last = F.try_element_at(acc, F.lit(-1))
-        c = F.when(h["a"] == h["b"], h["a"]).otherwise(F.coalesce(last["company"], h["a"]))
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(c.alias("company"), (F.coalesce(last["hops"], F.lit(0)) + 1).alias("hops"))))
-        fresh = F.concat(acc, F.array(F.struct(c.alias("company"), F.lit(1).alias("hops"))))
-        return F.when(last["company"].eqNullSafe(c), grown).otherwise(fresh).cast(kind)
-
-    parts = F.aggregate(hops, F.array().cast(kind), step)
-    return legs.where(F.size("stops") > 1).select("trip_id", F.transform(parts, lambda p: F.concat_ws(":", p["company"], p["hops"])).alias("p")).select("trip_id", F.array_join("p", " ").alias("parts"))
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        used, seen, out = set(), {}, []
+        place = 0
+        for r in pdf.sort_values("turn").itertuples(index=False):
+            reason, now = None, None
+            if not r.trips:
+                reason = "empty"
+            elif r.sig in seen:
+                reason = f"same as {seen[r.sig]}"
+            elif len(union := used | set(r.stops)) > budget:
+                reason = "budget"
+            else:
+                used, place = union, place + 1
+                seen[r.sig], now = r.feed, place
+            out.append((r.feed, r.turn, now, len(used), reason))
+        return pd.DataFrame(out, columns=["feed", "turn", "place", "used", "reason"]).astype({"place": "Int64"})
+
+    ordered = feed_order(feeds, rounds).withColumn("sig", F.col("sig").cast("string")).withColumn("__all", F.lit(1))
+    return ordered.groupBy("__all").applyInPandas(choose, "feed string, turn int, place long, used long, reason string")
 
 
 def representative_day(trips: DataFrame, day: Column) -> DataFrame:

@@ -9,6 +9,10 @@ from pyspark.sql import Window as W
 from chronoline.functions.scalars import line_key
 
 
+# Through services and the lines under which stations list them.
+THROUGH = {"上野東京ライン": ["東海道", "宇都宮", "高崎", "常磐"]}
+
+
 def line_score(entry: Column, leg: Column) -> Column:
     """2: the same line; 1: one name holds the other, or parts of compound names do; 0: else.
 
@@ -22,6 +26,20 @@ def line_score(entry: Column, leg: Column) -> Column:
     return F.when((a == "") | (b == "") | bullet, 0).when(a == b, 2).when(a.contains(b) | b.contains(a), 1).when(compound & meet, 1).otherwise(0)
 
 
+def entry_score(entry: Column, heading: Column, leg: Column) -> Column:
+    """``line_score``; else 1 where an entry without a line stands under a heading that names the line or its
+    operator, or where the line is a through service that the table lists under a line it runs on."""
+    score, op, line = line_score(entry, leg), line_key(heading), line_key(leg)
+    no_line = F.coalesce(entry, F.lit("")) == ""
+    bullet = F.coalesce(leg, F.lit("")).contains("新幹線") & ~F.coalesce(heading, F.lit("")).contains("新幹線")
+    bare = F.regexp_replace(op, "電鉄|鉄道", "")
+    headed = (op != "") & (line != "") & ~bullet & (op.contains(line) | line.contains(bare))
+    through = F.lit(False)
+    for name, runs_on in THROUGH.items():
+        through = through | ((line == name) & F.exists(F.array(*map(F.lit, runs_on)), lambda x: line_key(entry).contains(x)))
+    return F.when(score > 0, score).when(no_line & headed, 1).when(~no_line & through, 1).otherwise(0)
+
+
 def hints_in(text: Column, stations: Column) -> Column:
     """How many of the stations (two characters or more) the text names."""
     return F.size(F.filter(F.coalesce(stations, F.array().cast("array<string>")), lambda s: (F.length(s) >= 2) & text.contains(s)))

@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoline.functions.scalars import haversine_km, planar2, walk_minutes
+from chronoline.operators.graph import components, settled
+
+NEAR_KM = 0.4
+
 
-CELL, NEAR_KM = 0.005, 0.4
+def cell_for(km: float, farthest: float = 60.0) -> float:
+    """Degrees of a cell whose neighbours hold all that is at most ``km`` away, up to ``farthest`` degrees north or south."""
+    return km * 1.001 / (111.19 * math.cos(math.radians(farthest)))
 
 
-def within(points: DataFrame, km: float = NEAR_KM, cell: float = CELL, key: str = "station_id") -> DataFrame:
-    """(a, b, km, mode_a, mode_b): pairs a < b at most ``km`` apart, by an equi-join of cells with their neighbours."""
-    placed = points.where("lat is not null and lon is not null").withColumn("cy", (F.col("lat") / cell).cast("long")).withColumn("cx", (F.col("lon") / cell).cast("long"))
+def within(points: DataFrame, km: float = NEAR_KM, cell: float | None = None, key: str = "station_id") -> DataFrame:
+    """(a, b, km, mode_a, mode_b): pairs a < b at most ``km`` apart, by an equi-join of cells with their neighbours.
+
+    The cell follows from ``km`` for places up to 60 degrees north or south; give a larger one beyond.
+    """
+    cell = cell_for(km) if cell is None else cell
+    floor = lambda c: F.floor(F.col(c) / cell).cast("long")
+    placed = points.where("lat is not null and lon is not null").withColumn("cy", floor("lat")).withColumn("cx", floor("lon"))
     near = placed.withColumn("dy", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("dx", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
     a = near.select(F.col(key).alias("a"), F.col("lat").alias("la"), F.col("lon").alias("lo"), F.col("mode").alias("mode_a"), (F.col("cy") + F.col("dy")).alias("cy"), (F.col("cx") + F.col("dx")).alias("cx"))
     b = placed.select(F.col(key).alias("b"), F.col("lat").alias("lb"), F.col("lon").alias("lob"), F.col("mode").alias("mode_b"), "cy", "cx")
@@ -41,3 +54,31 @@ def nearest(points: DataFrame, anchors: DataFrame, key: str, name: str) -> DataF
     small = F.broadcast(anchors.select(F.col(name).alias("__name"), F.col("ord").alias("__ord"), F.col("lat").alias("__la"), F.col("lon").alias("__lo")))
     d = planar2(F.col("lat"), F.col("lon"), F.col("__la"), F.col("__lo"))
     return points.join(small, F.lit(True)).groupBy(key).agg(F.min(F.struct(F.round(d, 12).alias("d"), "__ord", "__name"))["__name"].alias(name))
+
+
+def cluster_stops(stops: DataFrame, name: Column, merge_km: float = 0.1, depth: int = 8) -> tuple[DataFrame, DataFrame]:
+    """((id, cluster), (cluster, name, lat, lon, stops)): stops of one place.
+
+    stops: (id, name, lat, lon, parent).  A stop stands for its outermost parent (up to ``depth``
+    above it; a parent that is no stop counts for none); those of one normal ``name`` at most ``merge_km``
+    apart are one.  A cluster is known by its smallest root; its place is the mean of its stops', its
+    name the most frequent (the smallest on ties).
+    """
+    up = stops.select(F.col("id").alias("child"), F.col("parent").alias("above"))
+    known = stops.select(F.col("id").alias("above"))
+    up = settled(up.join(known, "above").where("child != above"), "parents")
+    root = stops.select("id", F.col("id").alias("root"))
+    for _ in range(depth):
+        above = up.select(F.col("child").alias("root"), "above")
+        root = root.join(above, "root", "left").select("id", F.coalesce("above", "root").alias("root"))
+    root = settled(root, "roots")
+    tops = stops.join(root.select("root").distinct().withColumnRenamed("root", "id"), "id").select("id", "lat", "lon", F.lit(0).alias("mode"), name.alias("key"))
+    near = within(tops, merge_km, key="id").select("a", "b")
+    names = tops.select("id", "key")
+    same = near.join(names.select(F.col("id").alias("a"), F.col("key").alias("ka")), "a").join(names.select(F.col("id").alias("b"), F.col("key").alias("kb")), "b").where("ka = kb")
+    joined = components(same.select("a", "b"))
+    member = settled(root.join(joined.select(F.col("node").alias("root"), F.col("component").alias("c")), "root", "left").select("id", F.coalesce("c", "root").alias("cluster")), "members")
+    each = stops.join(member, "id")
+    often = each.groupBy("cluster", "name").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.min_by("name", F.struct(-F.col("n"), "name")).alias("name"))
+    place = each.groupBy("cluster").agg(F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"), F.count("*").alias("stops"))
+    return member, place.join(often, "cluster").select("cluster", "name", "lat", "lon", "stops")

@@ -19,3 +19,10 @@ def departures_by_hour(events: DataFrame, late: str = "2 hours") -> DataFrame:
 def user_sessions(events: DataFrame, gap: str = "12 hours", late: str = "1 day") -> DataFrame:
     """(session, user_id, n): sessions that end after ``gap`` without an event."""
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("session"), "user_id").agg(F.count("*").alias("n"))
+
+
+def drained(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream over all that is there now, and read what it appended: windows that the watermark has closed."""
+    run = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
