@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronoline.functions import scalars
@@ -11,16 +12,14 @@ from chronoline.plans.registry import both, op
 
 _KM = "2 * 6371.0 * asin(sqrt(power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2)))"
 
-both("j02_transfer_join", "SELECT a.arr_s AS station, count(*) AS transfers FROM {conn} a JOIN {conn} b ON a.arr_s = b.dep_s AND a.arr_t + 4 <= b.dep_t AND b.dep_t <= a.arr_t + 15 AND a.trip_id <> b.trip_id GROUP BY a.arr_s")
 # Every later transfer counts: departures from a minute on, less those of the arriving trip itself.
 both(
-    "j02_transfer_join_whole",
+    "j02_transfer_join",
     "WITH m AS (SELECT s, t, sum(arrs) AS arrs, sum(deps) AS deps FROM (SELECT arr_s AS s, arr_t + 4 AS t, 1 AS arrs, 0 AS deps FROM {conn} UNION ALL SELECT dep_s, dep_t, 0, 1 FROM {conn}) x GROUP BY s, t), p AS (SELECT s, arrs * sum(deps) OVER (PARTITION BY s ORDER BY t DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM m UNION ALL SELECT a.arr_s, -1 FROM {conn} a JOIN {conn} b ON a.arr_s = b.dep_s AND a.trip_id = b.trip_id AND a.arr_t + 4 <= b.dep_t) SELECT s AS station, CAST(sum(n) AS BIGINT) AS transfers FROM p GROUP BY s HAVING sum(n) > 0",
 )
 both("j03_trip_attributes", "SELECT c.trip_id, c.seq, t.cal, k.company FROM {conn} c JOIN {trip} t ON c.trip_id = t.trip_id JOIN {company} k ON t.line = k.line")
-both("j04_footpath_expansion", "SELECT c.trip_id, c.seq, f.b AS station, CAST(c.arr_t + f.walk AS INT) AS at FROM {conn} c JOIN (SELECT a, b, walk FROM {foot} UNION ALL SELECT b, a, walk FROM {foot}) f ON c.arr_s = f.a WHERE c.dep_t < 200")
 
-both("j04_footpath_expansion_whole", "SELECT c.trip_id, c.seq, f.b AS station, CAST(c.arr_t + f.walk AS INT) AS at FROM {conn} c JOIN (SELECT a, b, walk FROM {foot} UNION ALL SELECT b, a, walk FROM {foot}) f ON c.arr_s = f.a")
+both("j04_footpath_expansion", "SELECT c.trip_id, c.seq, f.b AS station, CAST(c.arr_t + f.walk AS INT) AS at FROM {conn} c JOIN (SELECT a, b, walk FROM {foot} UNION ALL SELECT b, a, walk FROM {foot}) f ON c.arr_s = f.a")
 
 @op("j05_near_pairs", f"SELECT a.station_id AS a, b.station_id AS b, round({_KM}, 6) AS km FROM stn a JOIN stn b ON a.station_id < b.station_id WHERE {_KM} <= 0.4")
 def near_pairs(n: Network):
@@ -35,9 +34,8 @@ def same_base_name(n: Network):
 both("j07_bus_to_rail", f"SELECT a.station_id AS a, b.station_id AS b, round({_KM}, 6) AS km FROM {{stn}} a JOIN {{stn}} b ON a.mode = 1 AND b.mode = 0 AND a.station_id % 10 = b.station_id % 10 WHERE {_KM} <= 0.6")
 both("j08_least_walk", "SELECT a, b, min(walk) AS walk FROM (SELECT a, b, walk FROM {foot} UNION ALL SELECT a, b, walk + 1 FROM {foot} UNION ALL SELECT b, a, walk FROM {foot}) x GROUP BY a, b")
 both("j09_as_of_next", "SELECT s.station_id, q.since, min(c.dep_t) AS next_dep FROM {stn} s CROSS JOIN (VALUES (480), (720), (1200)) AS q(since) LEFT JOIN {conn} c ON c.dep_s = s.station_id AND c.dep_t >= q.since GROUP BY s.station_id, q.since")
-both("j09_as_of_last", "SELECT e.event_id, max_by(p.value, p.event_id) AS before FROM {ev} e JOIN {ev} p ON e.user_id = p.user_id AND p.event_id < e.event_id AND p.event_id >= e.event_id - 500 GROUP BY e.event_id")
-# The statement above looks back 500 ids only; this one takes the latest earlier event, however far back.
-both("j09_as_of_last_whole", "SELECT event_id, before FROM (SELECT event_id, last_value(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM {ev}) x WHERE place > 1")
+# The user's latest earlier event, however far back.
+both("j09_as_of_last", "SELECT event_id, before FROM (SELECT event_id, last_value(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM {ev}) x WHERE place > 1")
 
 _BAND = "coalesce((SELECT min_by(b.yen, b.ord) FROM band b WHERE b.company = l.company AND ceil(l.km) <= b.max_km), (SELECT max_by(b.yen, b.ord) FROM band b WHERE b.company = l.company))"
 
@@ -87,12 +85,22 @@ both("j16_fill_missing", "SELECT s.station_id, coalesce(CASE WHEN s.station_id %
 both("j17_overwrite_far", f"SELECT a.station_id, CASE WHEN {_KM} > 2 THEN round(b.lat, 6) ELSE a.lat END AS lat FROM {{stn}} a JOIN (SELECT pref, avg(lat) AS lat, avg(lon) AS lon FROM {{stn}} GROUP BY pref) b ON a.pref = b.pref")
 
 
-@op("j18_anchored_fill")
+def _fills(passes: int = 5) -> str:
+    """DuckDB's version of the passes: each is one more table that reads the one before."""
+    steps = ["ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge)", "p0 AS (SELECT station_id, CASE WHEN station_id % 3 <> 1 THEN lat END AS lat, CASE WHEN station_id % 3 <> 1 THEN lon END AS lon, 0 AS filled FROM stn)"]
+    for k in range(1, passes + 1):
+        mean = f"SELECT w.a AS id, round(avg(q.lat), 6) AS mla, round(avg(q.lon), 6) AS mlo FROM ways w JOIN p{k - 1} q ON q.station_id = w.b AND q.lat IS NOT NULL GROUP BY w.a"
+        steps.append(f"p{k} AS (SELECT p.station_id, coalesce(p.lat, m.mla) AS lat, coalesce(p.lon, m.mlo) AS lon, CASE WHEN p.lat IS NULL AND m.mla IS NOT NULL THEN {k} ELSE p.filled END AS filled FROM p{k - 1} p LEFT JOIN ({mean}) m ON m.id = p.station_id)")
+    return "WITH " + ", ".join(steps) + f" SELECT station_id, round(lat, 4) AS lat, round(lon, 4) AS lon, filled FROM p{passes}"
+
+
+@op("j18_anchored_fill", _fills())
 def anchored_fill(n: Network):
     from chronoline.operators import geocode
 
     holes = n.stn.withColumn("lat", F.when(F.col("station_id") % 3 != 1, F.col("lat"))).withColumn("lon", F.when(F.col("station_id") % 3 != 1, F.col("lon")))
-    return geocode.fill_from_neighbours(holes, n.edge.select("a", "b"))
+    found = geocode.fill_from_neighbours(holes, n.edge.select("a", "b"))
+    return found.select("station_id", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), "filled")
 
 
 both("j19_manual_patch", "SELECT s.station_id, coalesce(p.lat, s.lat) AS lat, CAST(p.lat IS NOT NULL AND abs(p.lat - s.lat) <= 0.07 AS BOOLEAN) AS patched FROM {stn} s LEFT JOIN (VALUES (3, 35.01), (50, 35.9)) AS p(id, lat) ON s.station_id = p.id")
@@ -183,7 +191,11 @@ def track_format(n: Network):
     return n.spark.createDataFrame([("20 - 23",), ("1・2",), ("",)], "track string").select("track", platforms.format_track(F.col("track")).alias("label"))
 
 
-both("d18_direction_hints", "SELECT a.trip_id, a.seq, @list(b.station_id; b.seq)@ AS ahead FROM {st} a JOIN {st} b ON a.trip_id = b.trip_id AND b.seq > a.seq GROUP BY a.trip_id, a.seq")
+@op("d18_direction_hints", "SELECT a.trip_id, a.seq, string_agg(CAST(b.station_id AS VARCHAR), ',' ORDER BY b.seq) AS ahead FROM st a JOIN st b ON a.trip_id = b.trip_id AND b.seq > a.seq GROUP BY a.trip_id, a.seq")
+def direction_hints(n: Network):
+    """The stations ahead of each stop, from a frame of the trip's following rows."""
+    ahead = F.collect_list("station_id").over(Window.partitionBy("trip_id").orderBy("seq").rowsBetween(1, Window.unboundedFollowing))
+    return n.st.withColumn("ahead", ahead).where(F.size("ahead") > 0).select("trip_id", "seq", F.array_join(F.col("ahead").cast("array<string>"), ",").alias("ahead"))
 
 
 # -- scalars -------------------------------------------------------------------------------

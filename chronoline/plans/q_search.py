@@ -67,11 +67,10 @@ def change_penalty(n: Network):
 
 @op("g08_alternatives")
 def alternatives(n: Network):
-    edges, out = _slow_graph(n), []
-    for banned in ("", "click", "error", "view"):
-        best = graph.dijkstra_with_changes(edges[edges["line"] != banned] if banned else edges, 8)
-        out += [(banned, t, float(best[t])) for t in (21, 55, 90) if t in best]
-    return n.spark.createDataFrame(out, "banned string, target int, minutes double")
+    """Up to three routes a target; the fixture's graph is walked on the driver, a few thousand pairs."""
+    edges = _slow_graph(n)
+    out = [(t, k, r["minutes"], ",".join(map(str, r["path"])), ",".join(r["lines"])) for t in (21, 55, 90) for k, r in enumerate(graph.alternatives(edges, 8, t))]
+    return n.spark.createDataFrame(out, "target int, place int, minutes double, path string, lines string")
 
 
 both("g09_loop_trim", "SELECT s.trip_id, max(s.seq) AS start_seq FROM {st} s JOIN (SELECT trip_id, station_id FROM {st} WHERE seq = 1) o ON s.trip_id = o.trip_id AND s.station_id = o.station_id GROUP BY s.trip_id")
@@ -151,10 +150,9 @@ def best_as_json(n: Network):
     return best.select(F.to_json(F.struct("dep", "arr", (F.col("arr") - F.col("dep")).alias("minutes"), (F.col("rides") - 1).alias("transfers"), "path")).alias("json"))
 
 
-both("q13_assigned_times", "SELECT t.trip_id, t.seq, min(c.dep_t) AS board FROM {st} t LEFT JOIN {conn} c ON c.dep_s = t.station_id AND c.dep_t >= t.t + 3 WHERE t.seq <= 2 GROUP BY t.trip_id, t.seq")
 # All stops; without a later departure, half the station's headway (as in q15) after the walk.
 both(
-    "q13_assigned_times_whole",
+    "q13_assigned_times",
     "WITH d AS (SELECT s, m, asked, min(dep) OVER (PARTITION BY s ORDER BY m RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS board FROM (SELECT DISTINCT dep_s AS s, dep_t AS m, dep_t AS dep, 0 AS asked FROM {conn} UNION ALL SELECT DISTINCT station_id, t + 3, CAST(NULL AS INT), 1 FROM {st}) x), h AS (SELECT dep_s, CASE WHEN count(*) >= 2 THEN (max(dep_t) - min(dep_t)) * 1.0E0 / (count(*) - 1) ELSE 15.0E0 END AS headway FROM {conn} WHERE dep_t BETWEEN 600 AND 960 GROUP BY dep_s) SELECT t.trip_id, t.seq, coalesce(d.board, t.t + 3 + CAST(floor(coalesce(h.headway, 15.0E0) / 2 + 0.5E0) AS INT)) AS board, CAST(d.board IS NOT NULL AS BOOLEAN) AS from_timetable FROM {st} t JOIN d ON d.s = t.station_id AND d.m = t.t + 3 AND d.asked = 1 LEFT JOIN h ON h.dep_s = t.station_id",
 )
 both("q14_next_departure", "SELECT dep_s, line, min(dep_t) AS next_dep FROM {conn} WHERE dep_t >= 700 GROUP BY dep_s, line")
@@ -211,7 +209,10 @@ both("m22_presence", "SELECT q.id, bool_or(s.station_id IS NOT NULL) AS present
 op("m23_top_candidates")(lambda n: _profile(n, 8, 90, range(360, 900, 20)).orderBy("arr", F.desc("dep"), "rides").limit(12))
 
 
-@op("m24_component_sizes")
+@op(
+    "m24_component_sizes",
+    "WITH RECURSIVE both_ways AS (SELECT a, b FROM edge WHERE n >= 2 UNION SELECT b, a FROM edge WHERE n >= 2), r(node, seen) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT r.node, e.b FROM r JOIN both_ways e ON r.seen = e.a) SELECT component, count(*) AS n FROM (SELECT node, min(seen) AS component FROM r GROUP BY node) x GROUP BY component",
+)
 def component_sizes(n: Network):
     return graph.components(n.edge.where("n >= 2").select("a", "b")).groupBy("component").agg(F.count("*").alias("n"))
 
@@ -220,7 +221,7 @@ both("m25_board_merge", "SELECT o.dep_s, o.line, CASE WHEN count(DISTINCT d.arr_
 both("m26_board_label", "SELECT dep_s, arr_s AS top, CAST(n * 2 < total AS BOOLEAN) AS needs_second FROM (SELECT dep_s, arr_s, n, sum(n) OVER (PARTITION BY dep_s) AS total, row_number() OVER (PARTITION BY dep_s ORDER BY n DESC, arr_s) AS r FROM (SELECT dep_s, arr_s, count(*) AS n FROM {conn} GROUP BY dep_s, arr_s) x) y WHERE r = 1")
 
 
-@op("m27_readings")
+@op("m27_readings", "SELECT kana, romaji FROM (VALUES ('シンジュク', 'shinjuku'), ('おおさか', 'osaka'), ('きょうと', 'kyoto'), ('ホッカイドウ', 'hokkaido'), ('じゅんじ', 'junji')) AS t(kana, romaji)")
 def readings(n: Network):
     from chronoline.functions import kana
 
@@ -234,7 +235,11 @@ def round_trip(n: Network):
 
 
 both("m29_external_buckets", "SELECT CASE WHEN abs(fare - other) = 0 THEN 'exact' WHEN abs(fare - other) <= 110 THEN 'near' WHEN abs(fare - other) <= 500 THEN 'far' ELSE 'off' END AS bucket, count(*) AS n, count_if(abs(took - hops * 60) <= 10) AS on_time FROM (SELECT hops * 180 AS fare, hops * 150 + 30 AS other, arr - dep AS took, hops FROM {leg}) x GROUP BY 1")
-both("m30_leg_existence", "SELECT a.trip_id, a.seq, bool_or(abs(a.dep_t - b.dep_t) <= 2) AS found FROM {conn} a JOIN {conn} b ON a.dep_s = b.dep_s AND a.arr_s = b.arr_s AND a.trip_id <> b.trip_id GROUP BY a.trip_id, a.seq")
+both(
+    "m30_leg_existence",
+    "SELECT trip_id, seq, CAST(near > mine AS BOOLEAN) AS found FROM (SELECT trip_id, seq, count(*) OVER (PARTITION BY dep_s, arr_s ORDER BY dep_t RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near, count(*) OVER (PARTITION BY dep_s, arr_s, trip_id ORDER BY dep_t RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS mine, count(*) OVER (PARTITION BY dep_s, arr_s) AS n, count(*) OVER (PARTITION BY dep_s, arr_s, trip_id) AS own FROM {conn}) x WHERE n > own",
+    "SELECT a.trip_id, a.seq, bool_or(abs(a.dep_t - b.dep_t) <= 2) AS found FROM conn a JOIN conn b ON a.dep_s = b.dep_s AND a.arr_s = b.arr_s AND a.trip_id <> b.trip_id GROUP BY a.trip_id, a.seq",
+)
 both("m32_rounded_key_join", "SELECT a.station_id, b.station_id AS other FROM {stn} a JOIN {stn} b ON round(a.lat, 2) = round(b.lat, 2) AND round(a.lon, 2) = round(b.lon, 2) AND a.station_id < b.station_id")
 both("ui_suggest", "SELECT q.q, s.station_id, CAST(row_number() OVER (PARTITION BY q.q ORDER BY s.mode, s.name = q.q DESC, length(s.name), s.station_id) AS BIGINT) AS place FROM (VALUES ('S1'), ('S7')) AS q(q) JOIN {stn} s ON startswith(s.name, q.q)", "SELECT q.q, s.station_id, CAST(row_number() OVER (PARTITION BY q.q ORDER BY s.mode, s.name = q.q DESC, length(s.name), s.station_id) AS BIGINT) AS place FROM (VALUES ('S1'), ('S7')) AS q(q) JOIN stn s ON starts_with(s.name, q.q)")
 

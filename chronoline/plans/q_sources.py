@@ -8,7 +8,7 @@ import zipfile
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chronoline.operators.graph import settled
+from chronoline.operators.graph import own_folder, settled
 from chronoline.plans.adapter import Network
 from chronoline.plans.registry import both, op
 from chronoline.sources import gtfs, html, tv3
@@ -100,17 +100,25 @@ def _zips(n: Network):
     return [("a.zip", a), ("b.zip", b)]
 
 
-def _members(n: Network, name: str):
-    import os
-    import tempfile
+def written(n: Network, files: list[tuple[str, bytes]]) -> str:
+    """Write small files into a new folder of the shared one, whatever its file system; the folder's path."""
+    import uuid
+
+    sc = n.spark.sparkContext
+    fs = sc._jvm.org.apache.hadoop.fs
+    top = f"{own_folder(n.spark)}/files-{uuid.uuid4().hex}"
+    for name, content in files:
+        path = fs.Path(f"{top}/{name}")
+        out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+        try:
+            out.write(bytearray(content))
+        finally:
+            out.close()
+    return top
 
-    folder = n.spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    local = folder.removeprefix("file://") if folder.startswith(("file://", "/")) else ""
-    top = tempfile.mkdtemp(prefix="gtfs-", dir=local if local and os.path.isdir(local) else None)
-    for file, content in _zips(n):
-        with open(os.path.join(top, file), "wb") as f:
-            f.write(content)
-    return gtfs.members(n.spark, f"file://{top}", name)
+
+def _members(n: Network, name: str):
+    return gtfs.members(n.spark, written(n, _zips(n)), name)
 
 
 @op("s07_zip_members", "SELECT * FROM (VALUES ('a', 3::BIGINT, 1::BIGINT), ('b', 1::BIGINT, 0::BIGINT)) AS t(feed, n, short)")
@@ -159,7 +167,11 @@ def manifest_upsert(n: Network):
 
 
 both("s15_feed_info", "SELECT user_id, min_by(event_type, event_id) AS publisher FROM {ev} GROUP BY user_id")
-both("s16_paged_source", "SELECT CAST(floor((r - 1) / 100) AS BIGINT) AS page, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY event_id) AS r FROM {ev}) x GROUP BY 1")
+@op("s16_paged_source", "SELECT CAST(floor((r - 1) / 100) AS BIGINT) AS page, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY event_id) AS r FROM ev) x GROUP BY 1")
+def paged_source(n: Network):
+    from chronoline.operators import timetable
+
+    return timetable.placed(n.ev.select("event_id"), ["event_id"], "r").groupBy(F.floor((F.col("r") - 1) / 100).alias("page")).agg(F.count("*").alias("n"))
 
 
 @op("s17_point_rows", "SELECT station_id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM stn")
@@ -218,6 +230,78 @@ def platform_rows(n: Network):
     return html.cells(_table_pages(n), "key", "html").groupBy("heading").agg(F.count("*").alias("n"))
 
 
+_STATION = (
+    "<h2>駅構造</h2><h3>JR東日本</h3><h4>のりば</h4><table><tr><th>番線</th><th>路線</th><th>方向</th><th>行先</th></tr><tr><td>1</td><td rowspan=2>■中央線<sup class='x'></sup></td><td>西行</td><td>新宿 ・ 高尾方面</td></tr>"
+    "<tr><td>2</td><td>東行</td><td>東京方面</td></tr><tr><td colspan=4>2階ホーム</td></tr><tr><td>3</td><td>総武線</td><td></td><td>降車専用</td></tr><tr><td>4</td><td>総武線</td><td></td><td>千葉方面</td></tr><tr><td>4</td><td>総武線</td><td></td><td>千葉方面</td></tr></table>"
+    "<h3>京王電鉄（京王線）</h3><table><tr><th>ホーム</th><th>種別</th><th>方面</th></tr><tr><td>1・2</td><td>特急</td><td>橋本</td></tr></table>"
+    "<h3>バスのりば</h3><table><tr><th>のりば</th><th>系統</th><th>行先</th></tr><tr><td>1</td><td>12</td><td>市役所</td></tr></table><h2>歴史</h2><table><tr><th>番線</th><th>行先</th></tr><tr><td>9</td><td>旧線</td></tr></table>"
+)
+
+
+@op("s28_platform_entries", "SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, '1', '中央線', '西行', '新宿・高尾方面', NULL, 'JR東日本'), (1, 1, '2', '中央線', '東行', '東京方面', NULL, 'JR東日本'), (1, 2, '4', '総武線', NULL, '千葉方面', NULL, 'JR東日本'), (1, 3, '1・2', NULL, NULL, '橋本', '特急', '京王電鉄（京王線）')) AS t(key, ord, track, line, dir, dest, type, op)")
+def platform_entries(n: Network):
+    return html.platform_entries(n.spark.createDataFrame([(1, _STATION), (2, "<p>none</p>"), (3, None)], "key long, html string"), "key", "html")
+
+
+_TRAIN = (
+    '<span class="ek-onetrain-title-inner"><b>つくばエクスプレス</b>　始発：つくば 区間快速　秋葉原行き</span><table><tr><td class="td-station-name"><a href="/timetable/railway/station/7001">つくば</a></td><td class="td-dep-and-arr-time">06:05発</td></tr>'
+    '<tr><td>x</td></tr><tr><td class="td-station-name"><a href="/timetable/railway/station/7002">守谷</a></td><td class="td-dep-and-arr-time"><span>06:20着</span><br>06:22発</td></tr><tr><td class="td-station-name"><a href="/x">秋葉原</a></td><td class="td-dep-and-arr-time">07:01着</td></tr></table>'
+)
+
+
+@op("s22_train_details", "SELECT * FROM (VALUES (1::BIGINT, 'つくばエクスプレス', 'つくば', '区間快速', '秋葉原', '7001:つくば:-:06:05,7002:守谷:06:20:06:22,-:秋葉原:07:01:-'), (2, NULL, NULL, NULL, NULL, '')) AS t(key, line, origin, type, dest, stops)")
+def train_details(n: Network):
+    found = html.train_details(n.spark.createDataFrame([(1, _TRAIN), (2, "<p>none</p>")], "key long, html string"), "key", "html")
+    text = F.transform("stops", lambda s: F.concat_ws(":", *[F.coalesce(s[c], F.lit("-")) for c in ("s", "n", "a", "d")]))
+    return found.withColumn("stops", F.array_join(text, ","))
+
+
+_BOARD = 'a href="/timetable/railway/train?sf=1&tx=9-1&dw=0&dt=1&departure=0605&SFF=77&d=1" b href="/timetable/railway/train?sf=1&tx=9-2&dw=0&dt=1&departure=0700&SFF=77&d=2" '
+
+
+@op("s21_train_links", "SELECT * FROM (VALUES (1::BIGINT, '1', '9-1', '0605', '77', '1'), (1, '1', '9-2', '0700', '77', '2'), (2, '2', '9-3', '0810', '78', '1')) AS t(key, sf, tx, departure, sff, d)")
+def train_links(n: Network):
+    second = _BOARD.replace("sf=1", "sf=3") + 'href="/timetable/railway/train?sf=2&tx=9-3&dw=&dt=&departure=0810&SFF=78&d=1"'
+    return html.train_links(n.spark.createDataFrame([(1, _BOARD), (2, second), (3, None)], "key long, html string"), "key", "html")
+
+
+@op("s28_article_titles", "SELECT * FROM (VALUES ('大宮(埼玉)', '大宮駅,大宮駅 (埼玉県)'), ('渋谷', '渋谷駅,渋谷駅 (東京都)')) AS t(name, titles)")
+def article_titles(n: Network):
+    rows = n.spark.createDataFrame([("大宮(埼玉)", [], "埼玉県"), ("渋谷", ["渋谷駅", "東横線"], "東京都")], "name string, lines array<string>, pref string")
+    return rows.select("name", F.array_join(F.array_sort(html.article_titles(F.col("name"), F.col("lines"), F.col("pref"))), ",").alias("titles"))
+
+
+@op("s02_packed_files", "SELECT trip_id % 100 AS day, count(DISTINCT trip_id) AS trips, count(*) AS stops, CAST(sum(coalesce(arr, 0) + coalesce(dep, 0)) AS BIGINT) AS minutes FROM (" + _TIMES + ") x GROUP BY 1")
+def packed_files(n: Network):
+    """The packed files of all days written to the shared folder as one binary each, and scanned by ``tv3.read``."""
+    files = tv3.packed(times(n).withColumn("day", F.col("trip_id") % 100), by="day").collect()  # one small file a day of the month
+    folder = written(n, [(f"{r.by}.tv3", bytes(r.content)) for r in files])
+    found = tv3.read(n.spark, folder)
+    minutes = F.coalesce("arr", F.lit(0)) + F.coalesce("dep", F.lit(0))
+    return found.groupBy(F.regexp_extract("file", "([0-9]+)", 1).cast("long").alias("day")).agg(F.countDistinct("trip").alias("trips"), F.count("*").alias("stops"), F.sum(minutes).alias("minutes"))
+
+
+@op("s10_allowed_feeds", "SELECT * FROM (VALUES ('city-bus-main', 'main'), ('city-bus-night-2', 'night 2')) AS t(key, feed)")
+def allowed_feeds(n: Network):
+    rows = n.spark.createDataFrame([("City Bus", "main", "CC BY 4.0", None), ("City Bus", "night 2", "CC0", "2027-01-01"), ("City Bus", "old", "CC0", "2025-01-01"), ("Coast", "x", "all rights", None), ("Coast", "skip", "CC0", None)], "operator string, feed string, license string, until string")
+    kept = gtfs.allowed(rows.withColumn("until", F.col("until").cast("date")), ["CC BY 4.0", "CC0"], ["skip"], F.lit("2026-06-01").cast("date"))
+    return kept.select("key", "feed")
+
+
+@op(
+    "j26_service_days",
+    "WITH c AS (SELECT user_id AS service, min(CAST(ts AS DATE)) AS start, max(CAST(ts AS DATE)) AS stop FROM ev GROUP BY user_id), d AS (SELECT CAST(DATE '2024-01-01' + CAST(i AS INT) AS DATE) AS day FROM range(30) r(i)), x AS (SELECT user_id AS service, CAST(ts AS DATE) AS day, arg_max(CASE WHEN event_type = 'error' THEN 2 ELSE 1 END, event_id) AS kind FROM ev WHERE event_type IN ('error', 'view') GROUP BY ALL), "
+    "w AS (SELECT c.service, d.day FROM c JOIN d ON d.day BETWEEN c.start AND c.stop WHERE isodow(d.day) < 6 AND (c.service + isodow(d.day)) % 2 = 0) SELECT service, count(*) AS days FROM (SELECT service, day FROM w WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.service = w.service AND x.day = w.day AND kind = 2) UNION SELECT service, day FROM x WHERE kind = 1) y GROUP BY service",
+)
+def service_days(n: Network):
+    day = F.col("ts").cast("date")
+    week = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.when((i < 6) & ((F.col("service") + i) % 2 == 0), 1).otherwise(0))
+    calendar = n.ev.groupBy(F.col("user_id").alias("service")).agg(F.min(day).alias("start"), F.max(day).alias("stop")).withColumn("week", week)
+    marked = n.ev.where("event_type in ('error', 'view')")
+    exceptions = marked.select(F.col("user_id").alias("service"), day.alias("day"), F.when(F.col("event_type") == "error", 2).otherwise(1).alias("kind"), F.col("event_id").alias("line"))
+    return gtfs.service_days(calendar, exceptions, F.lit("2024-01-01").cast("date"), 30).groupBy("service").agg(F.count("*").alias("days"))
+
+
 @op("s29_fare_table", "SELECT * FROM (VALUES (1::BIGINT, DATE '2026-04-01', 3, 160), (1, DATE '2026-04-01', 6, 160), (1, DATE '2026-04-01', 10, 210)) AS t(key, since, km, yen)")
 def fare_table(n: Network):
     return html.fare_bands(html.cells(_table_pages(n), "key", "html"), "2026-06-01")

@@ -95,19 +95,15 @@ both(
 )
 
 
-@op("w15_leg_parts")
-def leg_parts(n: Network):
-    return feeds.leg_parts(n.st.groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct("seq", "station_id"))).alias("stops")))
-
-
 both(
     "w16_bridged_distance",
     """SELECT trip_id, round(sum(2 * 6371.0 * asin(sqrt(power(sin(radians(lat - pla) / 2), 2) + cos(radians(pla)) * cos(radians(lat)) * power(sin(radians(lon - plo) / 2), 2)))) * 1.06, 6) AS km
     FROM (SELECT trip_id, lat, lon, lag(lat) OVER (PARTITION BY trip_id ORDER BY seq) AS pla, lag(lon) OVER (PARTITION BY trip_id ORDER BY seq) AS plo FROM (SELECT s.trip_id, s.seq, p.lat, p.lon FROM {st} s JOIN {stn} p ON s.station_id = p.station_id AND p.station_id % 10 <> 3) k) x WHERE pla IS NOT NULL GROUP BY trip_id""",
 )
+# Departures are followed, 80 at most, until one takes more than 1.8 times as long as the one before and 30 minutes, or leaves on the next day.
 both(
     "w17_last_good_service",
-    """SELECT line, max(dep) AS last_good FROM (SELECT line, dep, arr - dep AS took, sum(CASE WHEN arr - dep > 1.8 * prev + 600 THEN 1 ELSE 0 END) OVER (PARTITION BY line ORDER BY dep, trip_id ROWS UNBOUNDED PRECEDING) AS broken FROM (SELECT *, lag(arr - dep) OVER (PARTITION BY line ORDER BY dep, trip_id) AS prev FROM {leg}) x) y WHERE broken = 0 GROUP BY line""",
+    """SELECT line, max(dep) AS last_good FROM (SELECT line, dep, r, sum(CASE WHEN dep >= 1440 OR arr - dep > 1.8 * prev + 30 THEN 1 ELSE 0 END) OVER (PARTITION BY line ORDER BY dep, trip_id ROWS UNBOUNDED PRECEDING) AS broken FROM (SELECT *, lag(arr - dep) OVER (PARTITION BY line ORDER BY dep, trip_id) AS prev, row_number() OVER (PARTITION BY line ORDER BY dep, trip_id) AS r FROM {leg}) x) y WHERE broken = 0 AND r <= 81 GROUP BY line""",
 )
 both("w18_visible_once", "SELECT dep_s, dep_t, line, arr_s, trip_id FROM (SELECT *, row_number() OVER (PARTITION BY dep_s, dep_t, line, type_id, arr_s ORDER BY trip_id, seq) AS r FROM {conn}) x WHERE r = 1")
 both("w19_signature_once", "SELECT sig, min(trip_id) AS trip_id, count(*) AS n FROM (SELECT trip_id, @list(station_id; seq)@ AS sig FROM {st} GROUP BY trip_id) x GROUP BY sig")
@@ -141,12 +137,16 @@ def day_key_match(n: Network):
 
 both("s25_day_type_keys", "SELECT DISTINCT CAST(trip_id / 100 AS BIGINT) AS key, cal FROM {trip} WHERE cal IN (2, 4)", "SELECT DISTINCT trip_id // 100 AS key, cal FROM trip WHERE cal IN (2, 4)")
 both("m05_calendar_inheritance", "SELECT t.trip_id, coalesce(e.cal, CASE WHEN t.type_id = 1 THEN t.cal END, 7) AS cal FROM {trip} t LEFT JOIN (SELECT line, type_id, min_by(cal, trip_id) AS cal FROM {trip} WHERE type_id = 0 GROUP BY line, type_id) e ON t.line = e.line AND t.type_id = e.type_id")
-both("m07_calendar_reset", "SELECT trip_id, CASE WHEN mode = 0 AND max(cal & 6) OVER (PARTITION BY line, type_id, trip_id % 100) = 0 THEN 7 ELSE cal END AS cal FROM {trip}")
+both("m07_calendar_reset", "SELECT trip_id, CASE WHEN mode = 0 AND coalesce(max(CASE WHEN mode = 0 THEN cal & 6 END) OVER (PARTITION BY line), 0) = 0 THEN 7 ELSE cal END AS cal FROM {trip}")
 both("m06_resume_state", "SELECT trip_id, max(done) AS done FROM (SELECT trip_id, 0 AS done FROM {trip} UNION ALL SELECT trip_id, 1 FROM {trip} WHERE cal = 1) x GROUP BY trip_id")
 both("m04_scoped_merge", "SELECT DISTINCT c.trip_id FROM {conn} c WHERE EXISTS (SELECT 1 FROM (SELECT arr_s AS a, dep_s AS b FROM {conn} EXCEPT SELECT dep_s, arr_s FROM {conn}) w WHERE c.arr_s = w.a AND c.dep_s = w.b)")
 
 
-@op("ui_holidays", None)
+# The holidays of 2026 as announced.
+_HOLIDAYS = "01-01 fixed,01-12 monday,02-11 fixed,02-23 fixed,03-20 equinox,04-29 fixed,05-03 fixed,05-04 fixed,05-05 fixed,05-06 substitute,07-20 monday,08-11 fixed,09-21 monday,09-22 between,09-23 equinox,10-12 monday,11-03 fixed,11-23 fixed"
+
+
+@op("ui_holidays", f"SELECT CAST('2026-' || x[1:5] AS DATE) AS day, x[7:] AS kind FROM (SELECT unnest(string_split('{_HOLIDAYS}', ',')) AS x) t")
 def holidays(n: Network):
     return feeds.holidays(n.spark, 2026)
 

@@ -146,3 +146,56 @@ def test_planner_leaves_loops_out():
     j = planner().query(3, 4, 170)
     assert j.legs == [("ride", 6, 3, 180, 4, 230)]
     assert planner()._without_loop([("ride", 9, 7, 170, 3, 175), ("ride", 6, 3, 180, 4, 230)], 1) == [("ride", 6, 1, 195, 4, 230)]
+
+
+def test_batch_scan_equals_one_scan_a_request():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = []
+    for trip in range(150):
+        t, at = rng.randrange(0, 1400), rng.randrange(25)
+        for seq in range(1, rng.randrange(3, 9)):
+            to, dep, arr = rng.randrange(25), t + rng.randrange(3), t + rng.randrange(3, 25)
+            if to != at:
+                rows.append((at, dep, to, arr, trip, seq, int(trip % 4 == 0), rng.choice([1, 2, 4, 7])))
+            t, at = arr, to
+    net, foot = conn(rows), pd.DataFrame([(1, 9, 5), (3, 4, 7), (20, 21, 3)], columns=["a", "b", "walk"])
+    one = graph.Scan(net, foot)
+    many = graph.BatchScan(*({c: t[c].to_numpy(np.int64) for c in t.columns} for t in (net, foot)))
+    stations = sorted(many.at)
+    asked = [(rng.choice(stations), rng.choice(stations), rng.randrange(0, 1500), rng.choice([None, 0, 1, 2])) for _ in range(120)]
+    source, target = (np.array([many.at[a[k]] for a in asked]) for k in (0, 1))
+    many.query(source, target, np.array([a[2] for a in asked]), np.array([-1 if a[3] is None else a[3] for a in asked]))
+    for k, (s, t, start, day) in enumerate(asked):
+        label = one.query(s, t, start, day)
+        assert many.label[target[k], k] == (label[t][0] if t in label else many.FAR)
+        assert many.legs(k, int(source[k]), int(target[k])) == one.legs(label, t)
+
+
+def test_rail_option_and_operators():
+    net = conn([(1, 100, 2, 110, 1, 1, 0, 7), (1, 100, 2, 120, 2, 1, 0, 7), (1, 100, 2, 105, 3, 1, 1, 7)])
+    trips = pd.DataFrame([(1, "ＪＲ線", None, "JR"), (2, "x", None, "東急"), (3, "bus", None, "")], columns=["trip_id", "line", "cls", "operator"])
+    planner = journeys.Planner(net, FOOT, trips)
+    arr = lambda **o: planner.query(1, 2, 90, journeys.Options(**o)).arr
+    assert (arr(), arr(no_bus=True), arr(rail="jr"), arr(rail="private"), arr(bus_only=True, rail="private")) == (105, 110, 110, 120, 105)
+    assert arr(operators=frozenset({"東急"})) == 120 and arr(rail="jr", operators=frozenset({"東急"})) == 110
+
+
+def test_feeds_are_chosen_in_turn_with_reasons(spark):
+    rows = [("a", "p", 9, "1", [1, 2]), ("b", "p", 8, "2", [3, 4, 5]), ("c", "q", 1, "3", [6]), ("d", "q", 0, "4", [7]), ("e", "p", 7, "1", [8]), ("f", "r", 5, "5", [1, 9])]
+    got = feeds.select_feeds(spark.createDataFrame(rows, "feed string, region string, trips long, sig string, stops array<long>"), 5, 1).collect()
+    assert [(r.feed, r.place, r.reason) for r in sorted(got, key=lambda r: r.turn)] == [("a", 1, None), ("c", 2, None), ("f", 3, None), ("b", None, "budget"), ("e", None, "same as a"), ("d", None, "empty")]
+
+
+def test_tariff_from_a_file(tmp_path):
+    import json
+
+    from chronoline.operators.tickets import Tariff
+
+    path = tmp_path / "fares.json"
+    path.write_text(json.dumps({"companies": {"A": {"ic_fare": [[3, 100], [9, 200]], "km_scale": 1.1}}, "jr_special": {"x|y": 90}, "default_fare_per_km": 30, "express": {"groups": {"g": [[9, 1]]}, "seat": {"reserved_only": ["Z"]}}}))
+    tariff = Tariff.load(str(path))
+    assert tariff.bands == {"A": [[3, 100], [9, 200]]} and tariff.scale == {"A": 1.1} and tariff.special == {("x", "y"): 90} and tariff.per_km == 30 and tariff.reserved_only == ["Z"]

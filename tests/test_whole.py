@@ -27,7 +27,7 @@ def on(spark, tmp_path):
 
 def test_as_of_last_has_no_bound(on):
     events = [(1, 7, 1, 10, 1), (2, 8, 1, 10, 1), (400, 7, 1, 20, 2), (2000, 7, 1, 30, 3), (90000, 8, 1, 40, 3)]
-    assert sorted(map(tuple, on("j09_as_of_last_whole", events))) == [(400, 1.0), (2000, 400.0), (90000, 2.0)]
+    assert sorted(map(tuple, on("j09_as_of_last", events))) == [(400, 1.0), (2000, 400.0), (90000, 2.0)]
 
 
 def test_overlap_merge_takes_all_stations_and_days(on):
@@ -38,7 +38,7 @@ def test_overlap_merge_takes_all_stations_and_days(on):
         groups = [set().union(*[h for h in groups if g & h]) for g in groups]
     want = {s: min(g) for g in groups for s in g}
     assert want == {3: 3, 50: 3, 99: 3, 7: 7, 8: 7, 42: 7, 1: 1, 60: 60}
-    assert {r.s: r.merged for r in on("u03_overlap_merge_whole", events)} == want
+    assert {r.s: r.merged for r in on("u03_overlap_merge", events)} == want
 
 
 def test_gap_probe_asks_every_one_way_pair(on):
@@ -66,19 +66,19 @@ def trips(seed=3):
 def test_transfers_of_any_wait(on):
     events, _, conn = trips()
     want = Counter(a[4] for a in conn for b in conn if a[4] == b[2] and a[5] + 4 <= b[3] and a[0] != b[0])
-    assert {r.station: r.transfers for r in on("j02_transfer_join_whole", events)} == want
+    assert {r.station: r.transfers for r in on("j02_transfer_join", events)} == want
 
 
 def test_footpaths_at_any_time(on):
     events, _, conn = trips()
-    got = on("j04_footpath_expansion_whole", events)
+    got = on("j04_footpath_expansion", events)
     assert {(r.trip_id, r.seq) for r in got} == {c[:2] for c in conn}  # each of these stations has a neighbour
     assert max(r.at for r in got) > 1000
 
 
 def test_assigned_times_of_all_stops_and_without_departure(on):
     events, stops, conn = trips()
-    got = {(r.trip_id, r.seq): (r.board, r.from_timetable) for r in on("q13_assigned_times_whole", events)}
+    got = {(r.trip_id, r.seq): (r.board, r.from_timetable) for r in on("q13_assigned_times", events)}
     want = {}
     for t, x in stops.items():
         for i, (s, minute) in enumerate(x):
