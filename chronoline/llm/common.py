@@ -47,8 +47,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage_folder(spark: SparkSession) -> str:
-    """This application's own folder below the shared one."""
-    return f"{shared_dir(spark)}/chronoline/{spark.sparkContext.applicationId}"
+    """This application's own folder below the shared one; it goes when the driver ends."""
+    sc = spark.sparkContext
+    folder = f"{shared_dir(spark)}/chronoline/{sc.applicationId}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return folder
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:

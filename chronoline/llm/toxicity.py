@@ -4,24 +4,29 @@ Features are rates over the whole text: lexicon densities (a short list of insul
 and the words and word beginnings that the training labels single out), how near
 the hits stand to second-person words, capitals, punctuation, and hits that only
 appear after the common letter substitutions are undone.  The learner is a
-histogram booster with logistic loss; a third of the sample learns the lexicon,
-a third the trees, a third the calibration.
+histogram booster with logistic loss.  All labelled rows of the sample learn the
+lexicon, the trees and the calibration, but none judges itself: a row's features come
+from a lexicon that has not counted it, and the calibration sees margins of trees that
+were fitted without it.  Texts stay on the executors; the driver gets entries and features.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoline.llm.common import ALNUM, LOWER, crc_mod, hash_spans, hash_word, sliced, text_bytes, thrifty, word_spans
+from chronoline.llm.common import ALNUM, LOWER, Shipped, boxed, crc_mod, hash_spans, hash_word, sliced, stage_table, text_bytes, thrifty, word_spans
 
-#: Bounds of the training sample: labelled rows, and characters of a row.
-TRAIN_ROWS, TRAIN_CHARS = 12_000, 30_000
+#: Bound of the training sample: labelled rows, each with its whole text.
+TRAIN_ROWS = 12_000
+#: Tasks that share the sample.
+SAMPLE_PARTS = 12
+#: Parts of the sample for the calibration: trees fitted on the others give a part's margins.
+FOLDS = 3
 THRESHOLD = 0.7
 #: A learned entry needs so many toxic rows, and so many times the clean rows' rate.
 MIN_TOXIC, MIN_LIFT = 4, 40.0
@@ -48,47 +53,39 @@ def _table(words) -> np.ndarray:
     return np.array(sorted({hash_word(w) for w in words}), np.uint64)
 
 
-def _chunks(texts: list[str], most: int = 2 << 20) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, texts) of about ``most`` characters each."""
-    lo = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size > most or i == len(texts) - 1:
-            yield lo, pa.array(texts[lo : i + 1], pa.string())
-            lo, size = i + 1, 0
-
-
-def _entries(texts: list[str], stem: int) -> Iterator[np.ndarray]:
-    """Hashes of the distinct words of each text (stem 0), or of the beginnings of the longer ones, a chunk at a time."""
-    for _, column in _chunks(texts):
-        raw, at = text_bytes(column)
-        low = LOWER[raw]
-        starts, stops, first = word_spans(low, at, ALNUM)
-        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        if stem:
-            long = stops - starts > stem
-            starts, row = starts[long], row[long]
-            stops = starts + stem
-        hashes = hash_spans(low, starts, stops)
-        order = np.lexsort([hashes, row])
-        h, r = hashes[order], row[order]
-        yield h[np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])])] if len(h) else h
+def _entries(column: pa.Array, stem: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct words of each text (stem 0), or of the beginnings of the longer ones."""
+    raw, at = text_bytes(column)
+    low = LOWER[raw]
+    starts, stops, first = word_spans(low, at, ALNUM)
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    if stem:
+        long = stops - starts > stem
+        starts, row = starts[long], row[long]
+        stops = starts + stem
+    hashes = hash_spans(low, starts, stops)
+    order = np.lexsort([hashes, row])
+    h, r = hashes[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
+    return r[new], h[new]
 
 
 class Lexicon:
-    """Words, and beginnings of words, that stand in toxic rows of the sample far more often than in clean ones.  Entries are hashes."""
+    """Words, and beginnings of words, that stand in toxic rows of the sample far more often than in clean ones.  Entries are hashes.
 
-    def __init__(self, texts: list[str], labels: np.ndarray):
-        toxic, clean = ([t for t, y in zip(texts, labels) if (y > 0) == side] for side in (True, False))
-        n1, n0 = max(1, len(toxic)), max(1, len(clean))
+    entries: (stem, hash, toxic rows, clean rows) of candidates.  without: the label of a row that
+    the counts shall not hold; every entry of that row is one row less of its kind.
+    """
+
+    def __init__(self, entries: list[tuple[int, int, int, int]], toxic: int, clean: int, without: int | None = None):
+        n1, n0 = max(1, toxic - (without == 1)), max(1, clean - (without == 0))
         tables = {}
         for stem in (0, *STEMS):
-            names, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *_entries(toxic, stem)]), return_counts=True)
-            names, times = names[times >= MIN_TOXIC], times[times >= MIN_TOXIC]
-            other = np.zeros(len(names))
-            for h in _entries(clean, stem):
-                np.add.at(other, np.searchsorted(names, h[_known(names, h)]), 1)
-            tables[stem] = names[times / n1 >= MIN_LIFT * (other + 0.5) / n0]
+            names = np.array([h % (1 << 64) for k, h, _, _ in entries if k == stem], np.uint64)
+            times = np.array([t for k, _, t, _ in entries if k == stem], np.float64) - (without == 1)
+            other = np.array([c for k, _, _, c in entries if k == stem], np.float64) - (without == 0)
+            tables[stem] = np.sort(names[(times >= MIN_TOXIC) & (times / n1 >= MIN_LIFT * (np.maximum(other, 0) + 0.5) / n0)])
         self.words, self.stems = tables[0], {k: tables[k] for k in STEMS}
         self.insults, self.you = _table(w.encode() for w in INSULTS), _table(w.encode() for w in YOU)
 
@@ -234,15 +231,16 @@ class Isotonic:
 
 
 class Model:
-    def __init__(self, texts: list[str], labels: list[int]):
-        y = np.array(labels, np.float64)
-        part = np.arange(len(y)) % 3  # the sample comes in hash order
-        few = len(y) < 600  # too few for parts: all rows serve all three
-        a, b, c = (np.flatnonzero(part == k) if not few else np.arange(len(y)) for k in range(3))
-        self.lexicon = Lexicon([texts[i] for i in a], y[a])
-        x = np.concatenate([np.zeros((0, len(NAMES))), *[features(column, self.lexicon) for _, column in _chunks(texts)]])
-        self.trees = Boosted(x[b], y[b]) if len(y) else None
-        self.calibrated = Isotonic(self.trees.margin(x[c]), y[c]) if len(y) else None
+    """Lexicon, trees and calibration.  x, y: features and labels of the sample, in hash order."""
+
+    def __init__(self, lexicon: Lexicon, x: np.ndarray, y: np.ndarray):
+        self.lexicon = lexicon
+        self.trees = Boosted(x, y) if len(y) else None
+        part = np.arange(len(y)) % FOLDS
+        margin = np.zeros(len(y))
+        for k in range(FOLDS if len(y) >= FOLDS else 0):
+            margin[part == k] = Boosted(x[part != k], y[part != k]).margin(x[part == k])
+        self.calibrated = Isotonic(margin, y) if len(y) else None
 
     def score(self, column: pa.Array) -> np.ndarray:
         x = features(column, self.lexicon)
@@ -250,7 +248,7 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", mod: int = 3, held: int = 1) -> Model:
-    """Learn from at most TRAIN_ROWS labelled rows, in hash order, whose crc32(key) mod ``mod`` is not ``held``.
+    """Learn from at most about TRAIN_ROWS labelled rows, chosen by hash, whose crc32(key) mod ``mod`` is not ``held``.
 
     Null keys, labels and texts do not take part; a row with several labels counts as toxic if
     one says so.  Nothing to learn from: every score is 0.
@@ -261,16 +259,48 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if n > TRAIN_ROWS:
         said = said.where(F.pmod(F.xxhash64("key"), F.lit(slots)) < F.lit(int(slots * TRAIN_ROWS / n)))
     said = F.broadcast(said)  # counted, then cut to about TRAIN_ROWS rows
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.substring(text, 1, TRAIN_CHARS).alias("text")).join(said, "key")
-    sample = rows.select(F.xxhash64("key").alias("h"), "text", F.col("label").cast("int").alias("label")).collect()
-    sample.sort(key=lambda r: (r.h, r.text))
-    return Model([r.text for r in sample], [r.label for r in sample])
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).join(said, "key")
+    rows = stage_table(rows.select(F.xxhash64("key").alias("h"), F.xxhash64("text").alias("h2"), "text", (F.col("label") > 0).cast("int").alias("label")).repartition(SAMPLE_PARTS), "toxic-sample")
+    counted = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
+    toxic, clean = counted.get(1, 0), counted.get(0, 0)
+
+    def entries(batches):
+        for batch in batches:
+            for piece in sliced(batch, "text", 1 << 20):
+                y = piece.column("label").to_numpy()
+                for stem in (0, *STEMS):
+                    row, found = _entries(piece.column("text"), stem)
+                    names, which = np.unique(found, return_inverse=True)
+                    bad = np.bincount(which, y[row], len(names)).astype(np.int64)
+                    good = np.bincount(which, minlength=len(names)) - bad
+                    yield pa.record_batch([pa.array(np.full(len(names), stem, np.int32)), pa.array(names.view(np.int64)), pa.array(bad), pa.array(good)], ["stem", "hash", "toxic", "clean"])
+
+    often = rows.select("text", "label").mapInArrow(thrifty(entries), "stem int, hash long, toxic long, clean long").groupBy("stem", "hash").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # Entries that any of the three lexicons below could hold: bounded by the sample.
+    lift = MIN_LIFT * (F.greatest(F.col("clean") - 1, F.lit(0)) + 0.5) / max(1, clean)
+    found = [tuple(r) for r in often.where((F.col("toxic") >= MIN_TOXIC) & (F.col("toxic") / max(1, toxic - 1) >= lift * 0.9)).collect()]
+    without = Shipped(docs.sparkSession, {k: Lexicon(found, toxic, clean, k) for k in (0, 1)})
+
+    def measured(batches):
+        for batch in batches:
+            for piece in sliced(batch, "text", 1 << 20):
+                y = piece.column("label").to_numpy()
+                x = np.zeros((len(y), len(NAMES)))
+                for k, lexicon in without.value.items():
+                    at = np.flatnonzero(y == k)
+                    x[at] = features(piece.column("text").take(pa.array(at)), lexicon)
+                values = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * len(NAMES)), pa.array(x.ravel()))
+                yield pa.record_batch([piece.column("h"), piece.column("h2"), piece.column("label"), values], ["h", "h2", "label", "x"])
+
+    # TRAIN_ROWS rows of len(NAMES) numbers.
+    sample = sorted((r.h, r.h2, r.label, r.x) for r in rows.mapInArrow(thrifty(measured), "h long, h2 long, label int, x array<double>").collect())
+    return Model(Lexicon(found, toxic, clean), np.array([r[3] for r in sample]).reshape(-1, len(NAMES)), np.array([r[2] for r in sample], np.float64))
 
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) of every row by its whole text; null and empty texts are scored as empty."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    given = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
+    given = Shipped(docs.sparkSession, model)  # bounded by the training sample
 
     def score(batches):
         for batch in batches:
@@ -282,16 +312,14 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose score is under ``threshold``."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    given = docs.sparkSession.sparkContext.broadcast(model)
-    target = to_arrow_schema(docs.schema)
+    given = Shipped(docs.sparkSession, model)
+    rows, named = boxed(docs)
 
     def keep(batches):
         for batch in batches:
-            for piece in sliced(batch, text, 1 << 20):
-                kept = piece.filter(pa.array(given.value.score(piece.column(text)) < threshold))
+            for piece in sliced(batch, named[text], 1 << 20):
+                kept = piece.filter(pa.array(given.value.score(piece.column(named[text])) < threshold))
                 if kept.num_rows:
-                    yield pa.RecordBatch.from_arrays(kept.columns, names=target.names)
+                    yield kept
 
-    return docs.mapInArrow(thrifty(keep), docs.schema)
+    return rows.mapInArrow(thrifty(keep), rows.schema).toDF(*docs.columns)
