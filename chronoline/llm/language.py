@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoline.llm.common import LOWER, NON_SPACE, crc_mod, hash_spans, ragged, sliced, stage_table, text_bytes, word_spans
+from chronoline.llm.common import LOWER, NON_SPACE, Shipped, crc_mod, hash_spans, ragged, sliced, stage_table, text_bytes, word_spans
 
 ORDER = 4
-#: Bounds of the training sample: rows of a language, and characters of a row.
-TRAIN_ROWS, TRAIN_CHARS = 300, 4000
+#: Bound of the training sample: rows of a language, each with its whole text.
+TRAIN_ROWS = 300
 #: Languages that are scored together, and costs that are kept for them; both bound a worker's memory.
 BLOCK, MEMO = 16, 1_600_000
 
@@ -123,8 +123,7 @@ def train(docs: DataFrame, label: str = "lang", text: str = "text", key: str = "
     # A hash threshold for each label keeps about twice the rows wanted; the rest is cut off in hash order.
     slots = 1 << 30
     near = rows.join(F.broadcast(counts), "label").where(F.pmod("hash", F.lit(slots)) < F.least(F.lit(slots), F.ceil(F.lit(slots * 2 * TRAIN_ROWS) / F.col("n"))))  # a row a label
-    cut = near.select("label", "hash", F.substring("text", 1, TRAIN_CHARS).alias("text"))
-    sample = cut.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("hash", "text"))).where(F.col("place") <= TRAIN_ROWS)
+    sample = near.select("label", "hash", "text").withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("hash", "text"))).where(F.col("place") <= TRAIN_ROWS)
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"label": [pdf["label"].iloc[0]], "tree": [pickle.dumps(vars(ContextTree(pdf["text"].tolist())))]})
@@ -144,7 +143,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     nothing was learned.  Rows are taken one by one; other columns are ignored.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    given = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample, a few MB a language
+    given = Shipped(docs.sparkSession, model)  # bounded by the training sample, a few MB a language
 
     def score(batches):
         model = given.value
