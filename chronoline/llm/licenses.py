@@ -8,12 +8,15 @@ both text and template, into covered template spans.
 
 from __future__ import annotations
 
+import re
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoline.llm.common import ALNUM, LOWER, hash_spans, hash_word, sliced, text_bytes, word_spans
+from chronoline.llm.common import ALNUM, LOWER, Shipped, hash_spans, hash_word, sliced, text_bytes, word_spans
 
 # Base phrases and short notices of public licences, by label.
 BASE = {
@@ -21,22 +24,40 @@ BASE = {
     "apache-2": "apache license version 2",
     "cc-by-nc": "cc by nc",
 }
+_MIT = [
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+]
+_BSD = [
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+]
+_GPL = "you can redistribute it and or modify it under the terms of the gnu {name} as published by the free software foundation either version {version} of the license or at your option any later version"
 TEMPLATES = {
-    "agpl-3": ["gnu affero general public license version 3"],
-    "apache-2": ["licensed under the apache license version 2 0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "licensed under the bsd 3 clause license"],
+    "agpl-3": ["gnu affero general public license version 3", _GPL.format(name="affero general public license", version=3)],
+    "apache-2": [
+        "licensed under the apache license version 2 0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
+    ],
+    "apache": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"],
+    "bsd": [*_BSD, "licensed under the bsd 3 clause license", "licensed under the bsd 2 clause license"],
+    "boost-1": ["boost software license version 1 0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software"],
     "cc-by": ["creative commons attribution 4 0 international license", "licensed under cc by 4 0"],
     "cc-by-nc": ["licensed under cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license"],
     "cc-by-sa": ["licensed under cc by sa 4 0", "creative commons attribution sharealike 4 0 international license"],
     "cc0": ["cc0 1 0 universal public domain dedication"],
-    "gpl-2": ["licensed under the gnu general public license version 2"],
-    "gpl-3": ["this work is licensed under the gnu general public license version 3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
+    "gpl-2": ["gnu general public license version 2", _GPL.format(name="general public license", version=2)],
+    "gpl-3": ["gnu general public license version 3", _GPL.format(name="general public license", version=3)],
+    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
     "lgpl": ["gnu lesser general public license version 3", "gnu lesser general public license version 2 1"],
-    "mit": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"],
-    "mpl-2": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "mit": ["released under the mit license", *_MIT],
+    "mpl-2": ["this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "subject to the terms of the mozilla public license v 2 0"],
     "proprietary": ["all rights reserved"],
-    "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "unlicense": ["this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"],
+    "zlib": ["this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"],
 }
 #: Words of a match that counts towards a chain, words between two matches of a chain, and the share of a template that a chain must cover.
 MIN_MATCH, MAX_GAP, COVER = 3, 24, 0.75
@@ -107,6 +128,9 @@ class Scanner:
         self.labels = [k for k, _, _ in names]
         self.sizes = [len(t.split()) for _, t, _ in names]
         self.base = [b for _, _, b in names]
+        # How many numbers stand before each word of a template; a label with a version asks for all of them.
+        dated = [re.search(r"-\d+$", k) is not None for k in self.labels]
+        self.versions = [[0, *accumulate(int(d and w.isdigit()) for w in t.split())] for d, (_, t, _) in zip(dated, names)]
         self.automaton = Automaton([[number[w] for w in t.split()] for _, t, _ in names])
         # Base phrases that are suffixes of a state's strings: those that end with it, and those of its suffix links.
         a = self.automaton
@@ -127,12 +151,12 @@ class Scanner:
         cuts = np.flatnonzero(np.diff(np.concatenate([[False], known, [False]])))
         a = self.automaton
         places: list[tuple[int, int]] = []
-        chains: dict[int, tuple[int, int, int, int]] = {}  # template: first word, last word + 1, template end, covered
+        chains: dict[int, tuple[int, int, int, int, int]] = {}  # template: first word, last word + 1, template end, covered words and version numbers
         spans: list[tuple[str, int, int, float]] = []
 
         def close(s: int) -> None:
-            lo, hi, _, covered = chains.pop(s)
-            if covered >= COVER * self.sizes[s]:
+            lo, hi, _, covered, versions = chains.pop(s)
+            if covered >= COVER * self.sizes[s] and versions == self.versions[s][-1]:
                 spans.append((self.labels[s], lo, hi, covered / self.sizes[s]))
 
         def match(stop: int, state: int, length: int) -> None:
@@ -143,16 +167,16 @@ class Scanner:
                     continue
                 lo, t = stop - n, e - n
                 if s in chains:
-                    first, last, done, covered = chains[s]
+                    first, last, done, covered, versions = chains[s]
                     new = e - max(done, t)
                     if t >= done and lo >= last and lo - last <= MAX_GAP and new > 0:
-                        chains[s] = (first, stop, e, covered + new)
+                        chains[s] = (first, stop, e, covered + new, versions + self.versions[s][e] - self.versions[s][t])
                         continue
                     if lo >= last or n > covered:
                         close(s)
                     else:
                         continue
-                chains[s] = (lo, stop, e, n)
+                chains[s] = (lo, stop, e, n, self.versions[s][e] - self.versions[s][t])
 
         for lo, hi in zip(cuts[::2].tolist(), cuts[1::2].tolist()):
             if hi - lo < MIN_MATCH:
@@ -185,7 +209,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     text has no words, no labels and null first and last words.  Rows are taken one by one.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    given = docs.sparkSession.sparkContext.broadcast(Scanner())  # the templates above: fixed size
+    given = Shipped(docs.sparkSession, Scanner())  # the templates above: fixed size
 
     def scan(batches):
         scanner = given.value
