@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoline.llm.common import ALNUM, LOWER, hash_spans, sliced, text_bytes, thrifty, word_spans
+from chronoline.llm.common import ALNUM, LOWER, Shipped, boxed, hash_spans, sliced, text_bytes, thrifty, word_spans
 
 WINDOW = 13
 #: Words of items that one scan searches for; more items are searched in further scans.
@@ -135,9 +135,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     kind = rows.schema["key"].dataType.simpleString()
     item_kind = benchmark.schema[item].dataType.simpleString()
     out = f"key {kind}, hash long, n_words long, spans array<struct<start:long,stop:long>>, items array<{item_kind}>"
-    scans = [_scan(rows, spark.sparkContext.broadcast(build(b, window)), window, out, item_kind) for b in _item_blocks(benchmark, item, item_text)]
+    scans = [_scan(rows, Shipped(spark, build(b, window)), window, out, item_kind) for b in _item_blocks(benchmark, item, item_text)]
     if not scans:
-        scans = [_scan(rows, spark.sparkContext.broadcast([]), window, out, item_kind)]
+        scans = [_scan(rows, Shipped(spark, []), window, out, item_kind)]
     if len(scans) == 1:
         return scans[0].drop("hash").withColumnRenamed("key", key)
     from pyspark.sql import Window
@@ -235,37 +235,41 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     """The rows of ``docs``, all columns, that the rule does not flag.
 
     With one block of items rows are judged where they are read; with more, the hits of all
-    blocks are united first and joined back by the rows' hashes.
+    blocks are united by text first and joined back by two hashes of it.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     spark = docs.sparkSession
-    blocks = list(_item_blocks(benchmark, item, item_text)) if benchmark.count() <= 100_000 else None
-    if blocks is None or len(blocks) > 1:
-        marked = docs.withColumn("__hash", F.xxhash64(F.col(text), F.col(text).isNull()))
-        found = contamination(marked, benchmark, "__hash", text, item, item_text, window).dropDuplicates(["__hash"])
-        bad = digests(found, "__hash").where("contaminated").select("__hash")
-        return marked.join(bad, "__hash", "left_anti").select(docs.columns)
-    searchers = spark.sparkContext.broadcast(build(blocks[0], window) if blocks else [])
-    names = to_arrow_schema(docs.schema).names
+    rows, named = boxed(docs)
+    body = named[text]
+    blocks = _item_blocks(benchmark, item, item_text)
+    first = next(blocks, [])
+    second = next(blocks, None)
+    if second is not None:
+        # Rows with one text share their hits, so they are told apart by two hashes of it only.
+        blocks.close()
+        marked = rows.withColumn("h1", F.xxhash64(body, F.col(body).isNull())).withColumn("h2", F.hash(F.lit(7), body))
+        texts = marked.groupBy("h1", "h2").agg(F.any_value(body).alias("text"))
+        found = contamination(texts.select(F.struct("h1", "h2").alias("key"), "text"), benchmark, "key", "text", item, item_text, window)
+        bad = digests(found, "key").where("contaminated").select("key.h1", "key.h2")
+        return marked.join(bad, ["h1", "h2"], "left_anti").select(*rows.columns).toDF(*docs.columns)
+    searchers = Shipped(spark, build(first, window))
 
     def keep(batches):
         for batch in batches:
-            for piece in sliced(batch, text):
-                raw, at = text_bytes(piece.column(text))
+            for piece in sliced(batch, body):
+                raw, at = text_bytes(piece.column(body))
                 low = LOWER[raw]
                 starts, stops, first = word_spans(low, at, ALNUM)
-                hashes, body = hash_spans(low, starts, stops), low.tobytes()
+                hashes, flat = hash_spans(low, starts, stops), low.tobytes()
                 hit = np.zeros(len(starts) + 1, np.int64)
                 for s in searchers.value:
-                    for a, _ in s.search(hashes, first, body, starts, stops):
+                    for a, _ in s.search(hashes, first, flat, starts, stops):
                         hit[a : a + s.length] = 1
                 total = np.concatenate([[0], np.cumsum(hit[:-1])])
                 kept = piece.filter(pa.array(~flagged(total[first[1:]] - total[first[:-1]], np.diff(first))))
                 if kept.num_rows:
-                    yield pa.RecordBatch.from_arrays(kept.columns, names=names)
+                    yield kept
 
-    return docs.mapInArrow(thrifty(keep), docs.schema)
+    return rows.mapInArrow(thrifty(keep), rows.schema).toDF(*docs.columns)
 
 
 def brute(text: str | None, items: list[tuple[int, str | None]], window: int = WINDOW) -> tuple[int, int, int, str]:
