@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from chronoline.llm.common import mix, sliced
+from chronoline.llm.common import mix, sliced, stage_table
 
 K, BINS, DEPTH = 8, 64, 2
 _C = np.uint64(0xD6E8FEB86659FD93)
@@ -99,16 +100,19 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """Rows (part, tail, key, text), to be dealt out by part: each part holds a range of keys in falling
     order and, as its last row (tail 1), a copy of the row that follows its range.
 
-    Keys must be numbers.  Order: falling keys, null keys last, ties by text; the row after the
-    last is the first.  Ranges are cut at quantiles of the keys, and only the first keys of the
-    ranges are gathered, one for each range.
+    Order: falling keys, null keys last, ties by text; the row after the last is the first.
+    Ranges are cut at quantiles of the keys, if they are numbers, else by a range shuffle that is
+    written down; only the first keys of the ranges are gathered, one for each range.
     """
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    marks = rows.agg(F.percentile_approx("key", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(20 * parts))).first()[0]
-    cuts = sorted({m for m in marks or []}, reverse=True)
-    rows = rows.withColumn("part", _part(F.col("key"), cuts))
+    if isinstance(rows.schema["key"].dataType, NumericType):
+        marks = rows.agg(F.percentile_approx("key", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(20 * parts))).first()[0]
+        cuts = sorted({m for m in marks or []}, reverse=True)
+        rows = rows.withColumn("part", _part(F.col("key"), cuts))
+    else:
+        rows = stage_table(rows.repartitionByRange(parts, F.desc_nulls_last("key")).withColumn("part", F.spark_partition_id()), "ranges")
     heads = rows.groupBy("part").agg(F.max("key").alias("key")).orderBy("part").collect()  # one row a range
     if not heads:
         return rows.select("part", F.lit(0).alias("tail"), "key", "text")
