@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoline.llm.common import stage_table
+from chronoline.llm.graphs import dealt_join
 
 # Fixed values: (verdict, host and path).
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -42,16 +43,23 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+_HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
+_BASE = r"""(?i)<base\b[^>]*\bhref\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
+
+
+def _target(link: Column) -> Column:
+    """A link with its scheme; null if it names no host."""
+    return F.when(link.rlike("(?i)^[a-z][a-z0-9+.-]*://"), link).when(link.startswith("//"), F.concat(F.lit("x:"), link))
+
+
 def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst, n): absolute links between different hosts, counted."""
-    links = F.regexp_extract_all(F.col(html), F.lit(r"""(?i)\bhref\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""), 1)
-    return (
-        pages.select(host_of(F.col(url)).alias("src"), F.explode(links).alias("to"))
-        .select("src", host_of(F.col("to")).alias("dst"))
-        .where("src != '' and dst != '' and src != dst")
-        .groupBy("src", "dst")
-        .agg(F.count("*").alias("n"))
-    )
+    """(src, dst, n): links between different hosts, counted.  Relative links lead to the page's base, if it names one."""
+    links = F.regexp_extract_all(F.col(html), F.lit(_HREF), 1)
+    base = _target(F.regexp_extract(F.col(html), _BASE, 1))
+    out = pages.select(host_of(F.col(url)).alias("src"), base.alias("base"), F.explode(links).alias("link"))
+    relative = ~F.col("link").rlike("(?i)^[a-z][a-z0-9+.-]*:") & ~F.col("link").startswith("#")
+    to = F.coalesce(_target(F.col("link")), F.when(relative, F.col("base")))
+    return out.select("src", host_of(to).alias("dst")).where("src != '' and dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = 1e-12) -> DataFrame:
@@ -82,12 +90,12 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, key: str
     """(key, host, path, rule, verdict, trust, distrust) of every page.
 
     A rule's verdict stands; else a host is blocked if its distrust reaches ``threshold`` and
-    exceeds its trust, and allowed otherwise.  Trust and distrust of a host are its ranks as a
-    share of the most that a seed of its own kind would keep, so a host that nothing reaches has 0.
+    exceeds its trust, and allowed otherwise.  Trust and distrust of a host are its rank times the
+    number of all pages over that of its own, at most 1; a host that nothing reaches has 0.
     A null url, or one without ``://``, has an empty host and path and no rule, and is allowed.
     Rows are judged one by one; repeated rows count as often as they occur in the seeds.
     """
-    parts = pages.select(F.col(key).alias(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    parts = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     ruled = parts.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     by_host = stage_table(ruled.groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("r.verdict") == "allow").alias("good"), F.count_if(F.col("r.verdict") == "block").alias("bad")), "hosts")
     edges = stage_table(host_edges(pages, url, html), "edges")
@@ -107,7 +115,7 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, key: str
     score = (
         by_host.join(ranks("good", edges, "t"), "host", "left")
         .join(ranks("bad", back, "d"), "host", "left")
-        .select("host", *[F.round(F.least(F.lit(1.0), F.coalesce(c, F.lit(0.0)) * pages_all / F.col("n")), 9).alias(name) for c, name in (("t", "trust"), ("d", "distrust"))])
+        .select("host", "n", *[F.round(F.least(F.lit(1.0), F.coalesce(c, F.lit(0.0)) * pages_all / F.col("n")), 9).alias(name) for c, name in (("t", "trust"), ("d", "distrust"))])
     )
     by_graph = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
-    return ruled.join(score, "host").select(key, "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", by_graph).alias("verdict"), "trust", "distrust")
+    return dealt_join(ruled, score, "host", "path", pages_all).select(key, "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", by_graph).alias("verdict"), "trust", "distrust")
