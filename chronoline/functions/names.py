@@ -71,3 +71,18 @@ def departure_key(stops: Column) -> Column:
     """First time of a trip: the first stop's departure or, lacking that, arrival that is known; NO_TIME without any."""
     times = F.filter(F.transform(stops, lambda s: F.coalesce(s["d"], s["a"])), lambda t: t.isNotNull())
     return F.coalesce(F.get(times, F.lit(0)), F.lit(NO_TIME))
+
+
+def suggest_rank(query: Column, name: Column, kana: Column, romaji: Column, mode: Column, bus_first: bool = False) -> Column:
+    """Struct that sorts suggestions, null where a station does not match: by mode, exact before beginning before inside, short names first.
+
+    The query is folded as ``search_key`` does, and compared with the name, its reading and, by its beginning, its romaji.
+    """
+    q, keys = search_key(query), F.array(search_key(name), search_key(F.coalesce(kana, F.lit(""))))
+    latin = F.lower(F.coalesce(romaji, F.lit("")))
+    exact = F.array_contains(keys, q) | (latin == q)
+    begins = F.exists(keys, lambda k: k.startswith(q)) | latin.startswith(q)
+    inside = F.exists(keys, lambda k: k.contains(q))
+    how = F.when(q == "", None).when(exact, 0).when(begins, 1).when(inside, 2)
+    order = -mode if bus_first else mode
+    return F.when(how.isNotNull(), F.struct(order.alias("mode"), how.alias("how"), F.length(name).alias("size"), name.alias("name")))

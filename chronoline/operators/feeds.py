@@ -82,6 +82,46 @@ def select_feeds(feeds: DataFrame, budget: int, rounds: int) -> DataFrame:
     return ordered.groupBy("__all").applyInPandas(choose, "feed string, turn int, place long, used long, reason string")
 
 
+def stable_key(tx: Column) -> Column:
+    """What stays of a train's number over its day types: the first and the last of its parts."""
+    parts = F.split(tx, "-")
+    return F.when(F.size(parts) >= 2, F.concat_ws("|", parts[0], F.element_at(parts, -1))).otherwise(tx)
+
+
+def new_trains(found: DataFrame, existing: DataFrame) -> DataFrame:
+    """Rows of ``found`` (tx, first, last, dep) that ``existing`` has neither by tx nor by stable key, ends and departure; each once."""
+    sign = lambda df: df.withColumn("key", stable_key(F.col("tx")))
+    keys = ["key", "first", "last", "dep"]
+    fresh = sign(found).join(existing.select("tx").distinct(), "tx", "left_anti").join(sign(existing).select(*keys).distinct(), keys, "left_anti")
+    one = fresh.groupBy(*keys).agg(F.min("tx").alias("tx"))
+    return one.select(found.columns)
+
+
+def inherited_calendar(trains: DataFrame, existing: DataFrame, saturday: DataFrame, sunday: DataFrame) -> DataFrame:
+    """``trains`` (tx) with cal: that of the first known train of its stable key, else weekdays and the days whose key sets hold it, else 7.
+
+    existing: (tx, cal, ord); saturday, sunday: (key).
+    """
+    known = existing.where("cal is not null").groupBy(stable_key(F.col("tx")).alias("key")).agg(F.min_by("cal", "ord").alias("known"))
+    days = saturday.select("key", F.lit(2).alias("bit")).unionByName(sunday.select("key", F.lit(4).alias("bit"))).groupBy("key").agg(F.bit_or("bit").alias("days"))
+    out = trains.withColumn("key", stable_key(F.col("tx"))).join(known, "key", "left").join(days, "key", "left")
+    return out.withColumn("cal", F.coalesce("known", F.col("days").bitwiseOR(F.lit(1)), F.lit(7)).cast("int")).drop("key", "known", "days")
+
+
+def until_empties(pages: DataFrame, key: str, order: str, empty: Column, most: int = 4) -> DataFrame:
+    """Rows of an ordered enumeration up to its end, the first ``most`` empty ones in a row; the others are not looked at."""
+    w = W.partitionBy(key).orderBy(order)
+    run = F.sum(empty.cast("int")).over(w.rowsBetween(1 - most, 0))
+    full = F.count("*").over(w.rowsBetween(1 - most, 0)) == most
+    ended = F.max(((run == most) & full).cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1))
+    return pages.withColumn("__ended", ended).where(F.coalesce("__ended", F.lit(0)) == 0).drop("__ended")
+
+
+def fetch_status(code: Column, error: Column) -> Column:
+    """'done', 'final' for a page that is not there, 'retry' for whatever may pass."""
+    return F.when(code.between(200, 299) & error.isNull(), "done").when(code == 404, "final").otherwise("retry")
+
+
 def representative_day(trips: DataFrame, day: Column) -> DataFrame:
     """(day, trips): the day with most trips, the earliest on ties."""
     return trips.groupBy(day.alias("day")).agg(F.count("*").alias("trips")).orderBy(F.desc("trips"), "day").limit(1)

@@ -115,3 +115,19 @@ def bus_to_rail(stops: DataFrame, most_km: float = 0.6) -> DataFrame:
     rail = stops.where("mode = 0").select(F.col("station_id").alias("b"), F.col("lat").alias("lb"), F.col("lon").alias("lob"), stop_name(F.col("name")).alias("key"))
     met = bus.withColumn("key", stop_name(F.col("key"))).join(rail, "key").withColumn("km", haversine_km(F.col("la"), F.col("lo"), F.col("lb"), F.col("lob")))
     return met.where(F.col("km") <= most_km).select("a", "b", "km")
+
+
+def patch(points: DataFrame, manual: DataFrame, most_km: float = 8.0) -> DataFrame:
+    """``points`` with the places of ``manual`` (name, lat, lon) and why one was not taken, in ``patched``.
+
+    'yes'; 'ambiguous' if several points have the name; 'far' if the new place is more than ``most_km`` from a known
+    one; null for points without a patch.
+    """
+    m = manual.select("name", F.col("lat").alias("__la"), F.col("lon").alias("__lo"))
+    n = F.count("*").over(W.partitionBy("name"))
+    out = points.withColumn("__n", n).join(m, "name", "left")
+    far = haversine_km(F.col("lat"), F.col("lon"), F.col("__la"), F.col("__lo")) > most_km
+    state = F.when(F.col("__la").isNull(), None).when(F.col("__n") > 1, "ambiguous").when(far, "far").otherwise("yes")
+    out = out.withColumn("patched", state)
+    take = F.coalesce(F.col("patched") == "yes", F.lit(False))
+    return out.withColumn("lat", F.when(take, F.col("__la")).otherwise(F.col("lat"))).withColumn("lon", F.when(take, F.col("__lo")).otherwise(F.col("lon"))).drop("__n", "__la", "__lo")

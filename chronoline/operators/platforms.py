@@ -82,3 +82,16 @@ def match(legs: DataFrame, entries: DataFrame) -> DataFrame:
 
 def format_track(track: Column) -> Column:
     return F.when(F.coalesce(track, F.lit("")) == "", "").otherwise(F.concat(F.regexp_replace(F.regexp_replace(track, r"\s*-\s*", "-"), r"\s+", ""), F.lit("番線")))
+
+
+def attach(legs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Add the track to legs (leg, station, shown, line, kind, stops, at, dest): that of the displayed line, else of the raw one.
+
+    stops: names of the train's stops; at: the number of the station among them, from 0.  Ahead are the later stops
+    and the destination, behind the earlier ones.
+    """
+    ahead = F.array_union(F.slice("stops", F.col("at") + 2, F.greatest(F.size("stops") - F.col("at") - 1, F.lit(0))), F.when(F.col("dest").isNotNull(), F.array("dest")).otherwise(F.array().cast("array<string>")))
+    asked = legs.select("leg", "station", "shown", "line", "kind", ahead.alias("ahead"), F.slice("stops", 1, F.col("at")).alias("behind"))
+    shown = match(asked.withColumn("line", F.col("shown")).drop("shown"), entries).withColumnRenamed("track", "t1")
+    raw = match(asked.drop("shown"), entries).withColumnRenamed("track", "t2")
+    return legs.join(shown, "leg", "left").join(raw, "leg", "left").withColumn("track", F.coalesce("t1", "t2")).drop("t1", "t2")

@@ -82,3 +82,16 @@ def cluster_stops(stops: DataFrame, name: Column, merge_km: float = 0.1, depth:
     often = each.groupBy("cluster", "name").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.min_by("name", F.struct(-F.col("n"), "name")).alias("name"))
     place = each.groupBy("cluster").agg(F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"), F.count("*").alias("stops"))
     return member, place.join(often, "cluster").select("cluster", "name", "lat", "lon", "stops")
+
+
+def all_footpaths(stops: DataFrame, names: DataFrame, km: float = NEAR_KM) -> DataFrame:
+    """(a, b, walk), a < b: the least walk of each pair among near stops, stations of one base name and bus stops named after a station.
+
+    stops: (station_id, name, lat, lon, mode); names: the stops with their base name, as ``same_name_walks`` takes them.
+    """
+    from chronoline.operators.geocode import bus_to_rail
+
+    walk = walk_minutes(F.col("km")).alias("walk")
+    named = same_name_walks(names, "base").select("a", "b", walk)
+    by_bus = bus_to_rail(stops).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), walk)
+    return footpaths(stops, km).unionByName(named).unionByName(by_bus).groupBy("a", "b").agg(F.min("walk").alias("walk"))

@@ -351,3 +351,40 @@ def journey_fare(legs: DataFrame, tariff: Tariff, seat: str = RESERVED) -> DataF
 def bare(name: Column) -> Column:
     """Station name as in the milepost table."""
     return without_brackets(name)
+
+
+# JR lines whose names stand without the company, and bare names that belong to subways.
+JR_OTHER_NAMES = ["赤羽線", "品鶴線", "山手貨物線", "高島線", "梅田貨物線", "美濃赤坂線", "和田岬線", "海峡線", "利府線", "琵琶湖線", "大和路線", "瀬戸大橋線", "福北ゆたか線", "中央・総武緩行線", "ガーラ湯沢線"]
+JR_AMBIGUOUS = ["東西線", "中央線"]
+
+
+def jr_bare_names(lines: DataFrame) -> DataFrame:
+    """(name): names of JR lines (line) without the company; of joint names, the parts too.  Ambiguous ones are left out."""
+    whole = F.regexp_replace(F.regexp_extract("line", "^(?:ＪＲ|JR)(.+)$", 1), "[ 　]", "")
+    part = F.transform(F.filter(F.split("name", "・"), lambda p: p != ""), lambda p: F.when(p.endswith("線"), p).otherwise(F.concat(p, F.lit("線"))))
+    parts = F.when(F.col("name").contains("・"), F.filter(part, lambda p: F.length(p) >= 3)).otherwise(F.array().cast("array<string>"))
+    named = lines.select(whole.alias("name")).where("name <> ''")
+    found = named.select(F.explode(F.concat(F.array("name"), parts)).alias("name"))
+    other = lines.sparkSession.createDataFrame([(x,) for x in JR_OTHER_NAMES], "name string")
+    return found.unionByName(other).distinct().where(~F.col("name").isin(JR_AMBIGUOUS))
+
+
+def station_companies(stations: DataFrame, rules: DataFrame, jr: DataFrame) -> DataFrame:
+    """(station, companies): companies that serve a station (station, line), from curated names of lines.
+
+    The rules' company (see ``fares.longest_prefix``), JR's companies as one; without one, JR if the name, up to a
+    colon or bracket, is a bullet line or a bare JR name, or a branch of one.  A metro's name that does not hold the
+    metro's is nobody's: other cities have lines of that name.
+    """
+    from chronoline.operators.fares import longest_prefix
+
+    line = F.col("line")
+    key = F.regexp_replace(F.split(line, "[:：（(]")[0], "[ 　]", "")
+    trunk = F.nullif(F.regexp_extract(key, "^(.+線).+支線$", 1), F.lit(""))
+    named = longest_prefix(stations, rules, "line").withColumn("key", key).withColumn("trunk", F.coalesce(trunk, key))
+    known = F.broadcast(jr.select(F.col("name").alias("__name")))  # names of a country's lines: some hundreds
+    bare = named.join(known.withColumnRenamed("__name", "key").withColumn("a", F.lit(True)), "key", "left").join(known.withColumnRenamed("__name", "trunk").withColumn("b", F.lit(True)), "trunk", "left")
+    is_jr = line.rlike("^(ＪＲ|JR)")
+    unnamed = F.when(is_jr | key.endswith("新幹線") | F.col("a") | F.col("b"), "JR")
+    company = F.when(F.col("company") == "", unnamed).when(F.col("company").startswith("JR") | is_jr, "JR").when((F.col("company") == "東京メトロ") & ~line.contains("東京メトロ"), None).otherwise(F.col("company"))
+    return bare.withColumn("c", company).groupBy("station").agg(F.array_sort(F.collect_set("c")).alias("companies"))

@@ -96,3 +96,55 @@ def stride_pick(df: DataFrame, keys: list[str], order: list[str], k: int | Colum
     ranked = df.withColumn("__n", F.count("*").over(w)).withColumn("__r", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__k", F.least(want, F.col("__n")))
     i = F.ceil(F.col("__r") * F.col("__k") / F.col("__n"))
     return ranked.where((F.col("__k") > 0) & (i < F.col("__k")) & (F.floor(i * F.col("__n") / F.col("__k")) == F.col("__r"))).drop("__n", "__r", "__k")
+
+
+def train_table(records: DataFrame) -> DataFrame:
+    """(tx, line, first_dep, stops array<struct<s,a,d>>) of fetched trains (tx, line, error, stops of clock times).
+
+    Trains with an error or fewer than two stops are left out; clock times become minutes.
+    """
+    from chronoline.functions.names import departure_key
+    from chronoline.functions.scalars import minutes
+
+    rows = records.where(F.col("error").isNull() & (F.size("stops") >= 2))
+    stops = F.transform("stops", lambda s: F.struct(s["s"].alias("s"), minutes(s["a"]).alias("a"), minutes(s["d"]).alias("d")))
+    return rows.select("tx", "line", stops.alias("stops")).withColumn("first_dep", departure_key(F.col("stops")))
+
+
+def running_best(conn: DataFrame) -> DataFrame:
+    """Add best: the earliest arrival that a scan in order of departure has seen at the connection's target so far."""
+    w = W.partitionBy("arr_s").orderBy("dep_t", "trip_id", "seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return conn.withColumn("best", F.min("arr_t").over(w))
+
+
+def threshold_order(routes: DataFrame, group: str, slack: int = 5) -> DataFrame:
+    """Add place within each group: by arrival, unless two are ``slack`` minutes apart or less; then by later departure, likewise; then by transfers.
+
+    The rule is no order of a set (it is not transitive), so a group's few routes are sorted as they come, by ``ord``.
+    """
+    import functools
+
+    import pandas as pd
+
+    def compare(x, y) -> int:
+        for gap in (x.arr - y.arr, y.dep - x.dep):
+            if abs(gap) > slack:
+                return gap
+        return x.transfers - y.transfers
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(pdf.sort_values("ord").itertuples(), key=functools.cmp_to_key(compare))
+        return pdf.assign(place=pd.Series({r.Index: k for k, r in enumerate(rows, 1)}))
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in routes.schema)
+    return routes.groupBy(group).applyInPandas(place, f"{kind}, place long")
+
+
+def headway(line: Column, hour: Column, table: dict[str, dict[str, int]], default: dict[str, int]) -> Column:
+    """Minutes between trains of a line in the period of an hour, the default's where the line is not in the table."""
+    period = F.when(((hour >= 7) & (hour < 9)) | ((hour >= 17) & (hour < 19)), "rush").when((hour >= 9) & (hour < 17), "day").when((hour >= 19) & (hour < 23), "night").otherwise("early")
+    of = lambda t: F.create_map(*[x for k, v in t.items() for x in (F.lit(k), F.lit(v))])
+    out = F.try_element_at(of(default), period)
+    for name, entry in table.items():
+        out = F.when(line == name, F.try_element_at(of(entry), period)).otherwise(out)
+    return out

@@ -12,10 +12,12 @@ from chronoline.plans.registry import both, op
 
 _KM = "2 * 6371.0 * asin(sqrt(power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2)))"
 
-# Every later transfer counts: departures from a minute on, less those of the arriving trip itself.
+# Transfers to every later departure: arrivals by the minute from which they can board, six minutes after them if either is a bus and four
+# otherwise, with the departures from that minute on, less those of the arriving trip itself.
 both(
     "j02_transfer_join",
-    "WITH m AS (SELECT s, t, sum(arrs) AS arrs, sum(deps) AS deps FROM (SELECT arr_s AS s, arr_t + 4 AS t, 1 AS arrs, 0 AS deps FROM {conn} UNION ALL SELECT dep_s, dep_t, 0, 1 FROM {conn}) x GROUP BY s, t), p AS (SELECT s, arrs * sum(deps) OVER (PARTITION BY s ORDER BY t DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM m UNION ALL SELECT a.arr_s, -1 FROM {conn} a JOIN {conn} b ON a.arr_s = b.dep_s AND a.trip_id = b.trip_id AND a.arr_t + 4 <= b.dep_t) SELECT s AS station, CAST(sum(n) AS BIGINT) AS transfers FROM p GROUP BY s HAVING sum(n) > 0",
+    "WITH e AS (SELECT arr_s AS s, d.m AS kind, arr_t + CASE WHEN mode = 1 OR d.m = 1 THEN 6 ELSE 4 END AS t, 1 AS arrs, 0 AS deps FROM {conn} CROSS JOIN (VALUES (0), (1)) AS d(m) UNION ALL SELECT dep_s, mode, dep_t, 0, 1 FROM {conn}), m AS (SELECT s, kind, t, sum(arrs) AS arrs, sum(deps) AS deps FROM e GROUP BY s, kind, t), p AS (SELECT s, arrs * sum(deps) OVER (PARTITION BY s, kind ORDER BY t DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM m UNION ALL SELECT a.arr_s, -1 FROM {conn} a JOIN {conn} b ON a.arr_s = b.dep_s AND a.trip_id = b.trip_id AND a.arr_t + CASE WHEN a.mode = 1 OR b.mode = 1 THEN 6 ELSE 4 END <= b.dep_t) SELECT s AS station, CAST(sum(n) AS BIGINT) AS transfers FROM p GROUP BY s HAVING sum(n) > 0",
+    "SELECT a.arr_s AS station, count(*) AS transfers FROM conn a JOIN conn b ON a.arr_s = b.dep_s AND a.trip_id <> b.trip_id AND a.arr_t + CASE WHEN a.mode = 1 OR b.mode = 1 THEN 6 ELSE 4 END <= b.dep_t GROUP BY a.arr_s",
 )
 both("j03_trip_attributes", "SELECT c.trip_id, c.seq, t.cal, k.company FROM {conn} c JOIN {trip} t ON c.trip_id = t.trip_id JOIN {company} k ON t.line = k.line")
 

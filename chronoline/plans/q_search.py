@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronoline.operators import fares, graph, journeys
+from chronoline.operators import fares, graph, journeys, tickets, timetable
 from chronoline.plans import q_sources
-from chronoline.plans.adapter import Network
+from chronoline.plans.adapter import BANDS, Network
 from chronoline.plans.registry import both, op
 
 _KM = "2 * 6371.0 * asin(sqrt(power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2)))"
@@ -157,7 +157,18 @@ both(
 )
 both("q14_next_departure", "SELECT dep_s, line, min(dep_t) AS next_dep FROM {conn} WHERE dep_t >= 700 GROUP BY dep_s, line")
 both("q15_headway", "SELECT dep_s, CASE WHEN count(*) >= 2 THEN round((max(dep_t) - min(dep_t)) * 1.0E0 / (count(*) - 1), 6) ELSE 15.0E0 END AS headway FROM {conn} WHERE dep_t BETWEEN 600 AND 960 GROUP BY dep_s")
-both("q16_company_runs", "SELECT user_id, company, count(*) AS runs FROM (SELECT user_id, ts, coalesce(company, 'other') AS company, lag(coalesce(company, 'other')) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM (SELECT e.user_id, e.ts, CASE WHEN k.company = 'Coast' THEN NULL ELSE k.company END AS company FROM {ev} e LEFT JOIN {company} k ON e.event_type = k.line) v) x WHERE prev IS NULL OR prev <> company GROUP BY user_id, company")
+@op(
+    "q16_company_runs",
+    """SELECT user_id, company, island, CAST(CASE WHEN company = 'other' THEN floor(km * 25 + 0.5) ELSE coalesce((SELECT min_by(b.yen, b.ord) FROM band b WHERE b.company = x.company AND ceil(x.km) <= b.max_km), (SELECT max_by(b.yen, b.ord) FROM band b WHERE b.company = x.company)) END AS INT) AS fare
+    FROM (SELECT user_id, company, CAST(island AS BIGINT) AS island, round(sum(value) / 100, 6) AS km FROM (SELECT *, sum(CASE WHEN company = prev THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS island FROM (SELECT *, lag(company) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM (SELECT e.user_id, e.ts, e.value, CASE WHEN k.company = 'Coast' OR k.company IS NULL THEN 'other' ELSE k.company END AS company FROM ev e LEFT JOIN company k ON e.event_type = k.line) v) w) y GROUP BY user_id, company, island) x""",
+)
+def company_runs(n: Network):
+    """Fares of runs of one company along a user's events; companies without bands pay by the kilometre."""
+    known = F.when((F.col("company") == "Coast") | F.col("company").isNull(), "other").otherwise(F.col("company"))
+    rows = n.ev.join(n.company.withColumnRenamed("line", "event_type"), "event_type", "left").withColumn("company", known)
+    runs = timetable.islands(rows, ["user_id"], "ts", F.col("company")).groupBy("user_id", "company", "island").agg(F.round(F.sum("value") / 100, 6).alias("km"))
+    tariff = tickets.Tariff(bands={c: [(km, yen) for name, _, km, yen in sorted(BANDS) if name == c] for c in {b[0] for b in BANDS}})
+    return runs.select("user_id", "company", "island", tickets.ticket(tariff, F.col("company"), F.col("km")).cast("int").alias("fare"))
 
 
 @op("q17_day_comparison")
@@ -176,7 +187,6 @@ def batch_status(n: Network):
     return asked.join(known, "target", "left").join(found, "req", "left").select("req", status.alias("status"))
 
 
-op("q19_through_service")(lambda n: _profile(n, 8, 55, range(360, 900, 20)).agg(F.min(F.struct("rides", "arr", "dep")).alias("x")).select("x.*"))
 
 
 # -- quality checks ------------------------------------------------------------------------
@@ -206,7 +216,6 @@ def platform_coverage(n: Network):
 
 
 both("m22_presence", "SELECT q.id, bool_or(s.station_id IS NOT NULL) AS present FROM (VALUES (5), (42), (99), (100)) AS q(id) LEFT JOIN {stn} s ON s.station_id = q.id GROUP BY q.id")
-op("m23_top_candidates")(lambda n: _profile(n, 8, 90, range(360, 900, 20)).orderBy("arr", F.desc("dep"), "rides").limit(12))
 
 
 @op(

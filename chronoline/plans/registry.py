@@ -70,7 +70,7 @@ def _add(name: str, run: Query, oracle: str | None) -> None:
 
 
 def _load() -> None:
-    from chronoline.plans import q_filters, q_joins, q_rules, q_search, q_sources, q_windows  # noqa: F401
+    from chronoline.plans import q_audit, q_filters, q_joins, q_rules, q_search, q_sources, q_windows  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

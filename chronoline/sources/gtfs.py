@@ -83,3 +83,11 @@ def upsert(manifest: DataFrame, new: DataFrame, catalogue: DataFrame | None = No
     """Rows of ``new`` replace those of the manifest; with a catalogue, keys that it lacks go."""
     merged = manifest.join(new.select("key"), "key", "left_anti").unionByName(new.select(manifest.columns))
     return merged if catalogue is None else merged.join(catalogue.select("key"), "key", "left_semi")
+
+
+def feed_info(raw: DataFrame) -> DataFrame:
+    """(feed, publisher, url, since, until): the first row of each feed's feed_info member."""
+    f = F.col("fields")
+    day = lambda c: F.try_to_timestamp(f[c], F.lit("yyyyMMdd")).cast("date")
+    first = raw.groupBy("feed").agg(F.min_by("fields", "line").alias("fields"))
+    return first.select("feed", f["feed_publisher_name"].alias("publisher"), f["feed_publisher_url"].alias("url"), day("feed_start_date").alias("since"), day("feed_end_date").alias("until"))

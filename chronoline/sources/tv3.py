@@ -74,6 +74,23 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(rows, "file string, trip long, seq long, station_id long, arr long, dep long")
 
 
+def guarded(spark: SparkSession, path: str) -> DataFrame:
+    """(file, trips, error) of all files under a path, judged by the tasks that read them: error says why one is no timetable."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for name, content in zip(part["path"], part["content"]):
+                try:
+                    out.append((name.rsplit("/", 1)[-1], len(unpack(content)[0]) - 1, None))
+                except (ValueError, EOFError, OSError, struct.error) as error:
+                    out.append((name.rsplit("/", 1)[-1], None, str(error)))
+            yield pd.DataFrame(out, columns=["file", "trips", "error"]).astype({"trips": "Int64"})
+
+    return files.mapInPandas(judge, "file string, trips long, error string")
+
+
 def packed(stop_times: DataFrame, trip: str = "trip_id", seq: str = "seq", station: str = "station_id", arr: str = "arr", dep: str = "dep", by: str | None = None) -> DataFrame:
     """(by, content binary): one packed file for each value of ``by``, trips in their order.
 
