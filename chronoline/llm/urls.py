@@ -44,21 +44,21 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 _HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
+_AWAY = r"""(?i)\bhref\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 _BASE = r"""(?i)<base\b[^>]*\bhref\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
-def _target(link: Column) -> Column:
-    """A link with its scheme; null if it names no host."""
-    return F.when(link.rlike("(?i)^[a-z][a-z0-9+.-]*://"), link).when(link.startswith("//"), F.concat(F.lit("x:"), link))
-
-
 def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(src, dst, n): links between different hosts, counted.  Relative links lead to the page's base, if it names one."""
-    links = F.regexp_extract_all(F.col(html), F.lit(_HREF), 1)
-    base = _target(F.regexp_extract(F.col(html), _BASE, 1))
-    out = pages.select(host_of(F.col(url)).alias("src"), base.alias("base"), F.explode(links).alias("link"))
-    relative = ~F.col("link").rlike("(?i)^[a-z][a-z0-9+.-]*:") & ~F.col("link").startswith("#")
-    to = F.coalesce(_target(F.col("link")), F.when(relative, F.col("base")))
+    text = F.col(html)
+    away = F.regexp_extract_all(text, F.lit(_AWAY), 1)
+    base = F.regexp_extract(text, _BASE, 1)
+    relative = F.filter(F.regexp_extract_all(text, F.lit(_HREF), 1), lambda x: ~x.rlike("(?i)^([a-z][a-z0-9+.-]*:|//|#)"))
+    # Few pages have a base; only theirs are searched for relative links.
+    based = F.when(F.lower(text).contains("<base"), F.when(base != "", F.transform(relative, lambda _: base)))
+    links = F.explode(F.concat(away, F.coalesce(based, F.array().cast("array<string>"))))
+    out = pages.select(host_of(F.col(url)).alias("src"), links.alias("link"))
+    to = F.when(F.col("link").startswith("//"), F.concat(F.lit("x:"), "link")).otherwise(F.col("link"))
     return out.select("src", host_of(to).alias("dst")).where("src != '' and dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
