@@ -32,6 +32,14 @@ def scan(n: Network):
     return graph.search(_requests(n, [(8, 55, 400, None), (3, 77, 600, 0), (20, 21, 30, None), (64, 2, 900, 2), (1, 99, 0, 1)]), n.conn, n.foot)
 
 
+@op("g01_thousand_requests")
+def thousand_requests(n: Network):
+    """A thousand requests, answered 128 at a time."""
+    i = F.col("id")
+    asked = n.spark.range(0, 1000, 1, 8).select(i.alias("req"), (i % 100).cast("int").alias("source"), ((i * 37 + 11) % 100).cast("int").alias("target"), (i * 7 % 1200).cast("int").alias("start"), F.lit(None).cast("int").alias("day"))
+    return graph.search(asked, n.conn, n.foot).select("req", "dep", "arr", "rides", "walks")
+
+
 @op("g02_paths")
 def paths(n: Network):
     found = graph.search(_requests(n, [(8, b, 300, None) for b in range(0, 100, 9)]), n.conn, n.foot)
