@@ -87,6 +87,9 @@ def _least(values: np.ndarray, after: np.ndarray, upto: np.ndarray) -> np.ndarra
 class Sorter:
     """Suffix array and capped common-prefix values of byte strings."""
 
+    #: Bytes of queued tuples in memory, if not the queue's own bound.
+    limits: tuple[int, ...] = ()
+
     def __init__(self, strings: list[bytes], cap: int):
         self.cap = cap
         sizes = np.fromiter(map(len, strings), np.int64, len(strings))
@@ -98,6 +101,9 @@ class Sorter:
         text[keep] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int16) + 1
         self.text = text
 
+    def room(self, n: int, dtype) -> np.ndarray:
+        return np.zeros(n, dtype)
+
     def sort(self) -> tuple[np.ndarray, np.ndarray]:
         """(positions, values): suffixes from the largest to the smallest, separators left out, and each
         one's common prefix with the one before it, counted up to the cap and never over a separator."""
@@ -136,8 +142,8 @@ class Sorter:
     def _scan(self, text, wanted, run, seeds, seed_values, rising: bool) -> tuple[np.ndarray, np.ndarray]:
         """One inducing scan.  wanted: the type that it induces.  Gives all suffixes that it passes, in its order."""
         n, cap = len(text), self.cap
-        pos_out, val_out, size = np.zeros(n, np.int64), np.zeros(n, np.int16), 0
-        queue = BucketQueue(257)
+        pos_out, val_out, size = self.room(n, np.int64), self.room(n, np.int16), 0
+        queue = BucketQueue(257, *self.limits)
         try:
             for key in range(257) if rising else range(256, 0, -1):
                 begin = size
@@ -184,11 +190,15 @@ class Sorter:
             queue.close()
         return pos_out[:size], val_out[:size]
 
+    def _lanes(self) -> np.ndarray:
+        """The text with four values more."""
+        return np.concatenate([self.text.astype(np.uint16), np.zeros(4, np.uint16)])
+
     def _neighbour_values(self, order: np.ndarray) -> np.ndarray:
         """Common prefix of each LMS suffix with the one before it, up to the cap; four values at a time."""
         out = np.zeros(len(order), np.int16)
         text, a, b = self.text, order[:-1], order[1:]
-        lanes = np.ndarray((len(text),), "<u8", np.concatenate([text.astype(np.uint16), np.zeros(4, np.uint16)]), strides=(2,))
+        lanes = np.ndarray((len(text),), "<u8", self._lanes(), strides=(2,))
         ones, tops = np.uint64(0x0001000100010001), np.uint64(0x8000800080008000)
         live, k = np.arange(len(a)), 0
         last = len(text) - 1
@@ -240,7 +250,8 @@ class Sorter:
             alive = np.zeros(len(active), bool)
             alive[order] = np.repeat(length > 1, length)
             k += 6
-            active = active[alive & (size[idx] > k)]
+            # One that ends here stays for a round more: it is larger than the longer ones that begin with it.
+            active = active[alive & (size[idx] >= k)]
         # A group's name is the number of smaller suffixes, so the taken numbers rise with the order.
         taken = np.zeros(len(live), bool)
         taken[group] = True
