@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -61,6 +62,20 @@ class BucketQueue:
             os.remove(path)
         return np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
 
+    def pieces(self, key: int, rows: int | None) -> Iterator[np.ndarray]:
+        """The same, about ``rows`` of those on disk at a time; all at once without a number."""
+        path = self.spilled.get(key)
+        if rows is None or path is None:
+            yield self.pop(key)
+            return
+        del self.spilled[key]
+        rest = self.pop(key)  # taken out first: what is pushed meanwhile may spill
+        with open(path, "rb") as f:
+            while len(some := np.fromfile(f, np.int64, 2 * rows)):
+                yield some.reshape(-1, 2)
+        os.remove(path)
+        yield rest
+
     def close(self) -> None:
         if self.folder is not None:
             self.folder.cleanup()
@@ -89,6 +104,8 @@ class Sorter:
 
     #: Bytes of queued tuples in memory, if not the queue's own bound.
     limits: tuple[int, ...] = ()
+    #: Tuples and seeds that a scan takes at a time, if not all of a key.
+    piece: int | None = None
 
     def __init__(self, strings: list[bytes], cap: int):
         self.cap = cap
@@ -170,21 +187,32 @@ class Sorter:
                     now = first == key if key else np.zeros(len(first), bool)
                     return np.stack([pos[now], rank[now]], 1)
 
-                tuples, last = queue.pop(key), -1
-                while len(tuples):
-                    rank = tuples[:, 1]
-                    val = np.zeros(len(tuples), np.int16)
-                    if last >= 0:
-                        val[0] = min(cap, 1 + int(val_out[last + 1 : rank[0] + 1].min()))
-                    if len(tuples) > 1:
-                        val[1:] = np.minimum(cap, 1 + _least(val_out, rank[:-1], rank[1:]).astype(np.int64))
-                    last = int(rank[-1])
-                    tuples = passed(tuples[:, 0], val)
-                if len(seeds[key]):
-                    val = seed_values[key].copy()
-                    # Where the two types meet under one key, they share the shorter of their runs of it.
-                    val[0] = min(cap, int(run[pos_out[size - 1]]), int(run[seeds[key][0]])) if size > begin and key else 0
-                    rest = passed(seeds[key], val)
+                waiting, last = queue.pieces(key, self.piece), -1
+                while True:
+                    following = []
+                    for tuples in waiting:
+                        if not len(tuples):
+                            continue
+                        rank = tuples[:, 1]
+                        val = np.zeros(len(tuples), np.int16)
+                        if last >= 0:
+                            val[0] = min(cap, 1 + int(val_out[last + 1 : rank[0] + 1].min()))
+                        if len(tuples) > 1:
+                            val[1:] = np.minimum(cap, 1 + _least(val_out, rank[:-1], rank[1:]).astype(np.int64))
+                        last = int(rank[-1])
+                        # What they induce under the same key follows them all.
+                        if len(more := passed(tuples[:, 0], val)):
+                            following.append(more)
+                    if not following:
+                        break
+                    waiting = following
+                step = self.piece or max(1, len(seeds[key]))
+                for lo in range(0, len(seeds[key]), step):
+                    val = np.array(seed_values[key][lo : lo + step])
+                    if not lo:
+                        # Where the two types meet under one key, they share the shorter of their runs of it.
+                        val[0] = min(cap, int(run[pos_out[size - 1]]), int(run[seeds[key][0]])) if size > begin and key else 0
+                    rest = passed(np.asarray(seeds[key][lo : lo + step]), val)
                     assert not len(rest)
         finally:
             queue.close()

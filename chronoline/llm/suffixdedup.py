@@ -6,7 +6,8 @@ windows with one least hash (a segment) travels as one string, and equal windows
 always share their least hash.  Segments whose least hash occurs once cannot hold a
 repeat and stay behind.  A shard's distinct segments, weighted by how often they
 occur, are suffix-sorted, and every DEPTH bytes that weigh two or more are reported
-to the places of their segments.
+to the places of their segments.  A shard is a run of whole groups of one least hash; one
+that grows large, because a single group is, is spooled and sorted over files.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoline.llm.common import boxed, mix, ragged, sliced, stage_table, text_bytes, thrifty, trim
+from chronoline.llm.external import repeated_starts as starts_over_files
 from chronoline.llm.induced import repeated_starts
 
 DEPTH, K = 200, 32
@@ -29,6 +31,8 @@ DEPTH, K = 200, 32
 SHARD_BYTES = 5 << 18
 #: A least hash with more segments than this deals them further by a second least hash.
 HOT = 2000
+#: Bytes of a shard from which it is sorted over files, and of what its scans queue in memory.
+EXTERNAL, QUEUED = 8 << 20, 16 << 20
 #: Places of a shard that wait in memory for the sort; more wait in the task's scratch folder.
 PLACES = 1_000_000
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
@@ -136,25 +140,21 @@ def repeated_ranges(keyed: DataFrame, depth: int = DEPTH) -> DataFrame:
     dealt = pairs.mapInArrow(thrifty(cut), f"least long, body binary, places {places}").repartition(_shards(spark), "least").sortWithinPartitions("least")
 
     def shard(batches) -> Iterator[pa.RecordBatch]:
-        held, weights, places, size, last = {}, [], _Places(), 0, None
+        held, places, last = _Segments(), _Places(), None
         for batch in batches:
             where = batch.column("places")
             at = where.offsets.to_numpy().astype(np.int64)
             count = np.diff(at).tolist()
             index, lo = np.zeros(batch.num_rows, np.int64), 0
             for i, (least, body) in enumerate(zip(batch.column("least").to_pylist(), batch.column("body").to_pylist())):
-                if least != last and size > SHARD_BYTES:
+                if least != last and held.size > SHARD_BYTES:
                     places.add(index[lo:i], at[lo : i + 1], where.values)
-                    yield from _sorted(held, weights, places, depth)
-                    held, weights, places, size, lo = {}, [], _Places(), 0, i
+                    yield from _sorted(held, places, depth)
+                    held, places, lo = _Segments(), _Places(), i
                 last = least
-                k = index[i] = held.setdefault(body, len(held))
-                if k == len(weights):
-                    weights.append(0)
-                    size += len(body)
-                weights[k] += count[i]
+                index[i] = held.add(body, count[i])
             places.add(index[lo:], at[lo:], where.values)
-        yield from _sorted(held, weights, places, depth)
+        yield from _sorted(held, places, depth)
 
     ranges = dealt.mapInArrow(thrifty(shard), "h1 long, h2 int, lo int, hi int")
     return ranges.groupBy("h1", "h2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
@@ -175,6 +175,48 @@ def _batch(keys: list, places: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array([k for k, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), struct)], ["least", "body", "places"])
 
 
+class _Segments:
+    """Distinct segments of a shard and how often they occur; beyond EXTERNAL bytes in the task's scratch folder, and known by 128 bits of hash."""
+
+    def __init__(self):
+        self.index: dict[bytes, int] = {}
+        self.weights, self.sizes, self.size, self.file = [], [], 0, None
+
+    def add(self, body: bytes, times: int) -> int:
+        k = self.index.setdefault(body if self.file is None else _name(body), len(self.weights))
+        if k == len(self.weights):
+            self.weights.append(0)
+            self.sizes.append(len(body))
+            self.size += len(body)
+            if self.file is not None:
+                self.file.write(body)
+            elif self.size > EXTERNAL:
+                self.file = tempfile.TemporaryFile(prefix="segments-")
+                for x in self.index:
+                    self.file.write(x)
+                self.index = {_name(x): j for x, j in self.index.items()}
+        self.weights[k] += times
+        return k
+
+    def _read(self) -> Iterator[bytes]:
+        self.file.seek(0)
+        for n in self.sizes:
+            yield self.file.read(n)
+
+    def repeated(self, depth: int) -> Iterator[np.ndarray]:
+        """For each segment the offsets of windows that weigh two or more."""
+        weights = np.array(self.weights, np.int64)
+        if self.file is None:
+            yield from repeated_starts(list(self.index), weights, depth)
+        else:
+            yield from starts_over_files(self._read(), np.array(self.sizes, np.int64), weights, depth, QUEUED)
+            self.file.close()
+
+
+def _name(body: bytes) -> bytes:
+    return hashlib.blake2b(body, digest_size=16).digest()
+
+
 class _Places:
     """(segment, h1, h2, start) of a shard's segments, in the task's scratch folder beyond a bound."""
 
@@ -210,11 +252,11 @@ class _Places:
                 yield whole[i : i + 20_000]
 
 
-def _sorted(held: dict[bytes, int], weights: list[int], places: _Places, depth: int) -> Iterator[pa.RecordBatch]:
+def _sorted(held: _Segments, places: _Places, depth: int) -> Iterator[pa.RecordBatch]:
     """Ranges that repeats cover, at every place of every segment of one shard."""
     trim()
-    runs, lo, hi = np.zeros(len(held), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k, hit in enumerate(repeated_starts(list(held), np.array(weights, np.int64), depth)):
+    runs, lo, hi = np.zeros(len(held.weights), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, hit in enumerate(held.repeated(depth)):
         if len(hit):
             cut = np.flatnonzero(np.concatenate([[True], np.diff(hit) > depth, [True]]))
             runs[k] = len(cut) - 1

@@ -294,6 +294,103 @@ def test_induced_sorting_order_and_common_prefixes(limit, monkeypatch):
         assert [x.tolist() for x in induced.repeated_starts(strings, weights, depth)] == _brute_suffixes(strings, weights, depth)
 
 
+def _joined_strings(rng):
+    """Strings of up to 60 letters and some put together of them, so that long substrings begin one another."""
+    letters = rng.choice([b"ab", b"abc", b"a", b"\x00\xff", b"abcdefghij", bytes(range(256))])
+    base = [bytes(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(rng.randint(1, 4))]
+    return list(dict.fromkeys(base + [a + b for a in base[:2] for b in base[:2]]))
+
+
+def test_order_of_strings_that_begin_alike():
+    from chronoline.llm import induced
+
+    rng = random.Random(5)
+    for _ in range(800):
+        s = induced.Sorter(_joined_strings(rng), 200)
+        pos, _ = s.sort()
+        suffix = [s.text[p : s.ends[np.searchsorted(s.ends, p)]].tolist() for p in pos.tolist()]
+        assert all(a >= b for a, b in zip(suffix, suffix[1:]))
+
+
+def test_external_sorting_equals_that_in_memory(monkeypatch):
+    """All levels of the recursion, ranges, pieces, steps and queues of any size."""
+    from chronoline.llm import external, induced
+
+    rng = random.Random(8)
+    for _ in range(250):
+        strings, depth = _joined_strings(rng), rng.choice([1, 2, 5, 200])
+        for name, values in (("IN_MEMORY", [0, 1, 3, 20]), ("RANGE", [1, 3, 8, 50]), ("PIECE", [2, 5, 16, 1000]), ("STEP", [1, 2, 7, 64])):
+            monkeypatch.setattr(external, name, rng.choice(values))
+        pos, val = induced.Sorter(strings, depth).sort()
+        sorter = external.ExternalSorter(iter(strings), np.array([len(x) for x in strings]), depth, rng.choice([0, 64, 1 << 20]))
+        got = [np.array(x) for x in sorter.sort()]
+        sorter.close()
+        assert (pos == got[0]).all() and (val == got[1]).all()
+
+
+def test_large_shard_is_sorted_in_bounded_memory():
+    """More than the queues may hold, with the production limits: the same windows as by counting, in a fraction of the memory."""
+    import subprocess
+    import sys
+
+    code = """
+import os, re, resource, sys
+sys.path.insert(0, sys.argv[1])
+import numpy as np
+from chronoline.llm import suffixdedup as s, external
+rng = np.random.default_rng(4)
+words = [bytes(rng.integers(97, 123, int(n), dtype=np.uint8)) for n in rng.integers(2, 9, 3000)]
+passages = [b" ".join(words[k] for k in rng.integers(0, 3000, 60)) for _ in range(400)]
+held = s._Segments()
+total = {}
+for i in range(36000):
+    own = b" ".join(words[k] for k in rng.integers(0, 3000, 45))
+    body = own[: i % 200] + passages[i % 400] + own[i % 200 :]
+    held.add(body, 1)
+assert held.file is not None and held.size > s.EXTERNAL > external.IN_MEMORY
+for i, body in enumerate(held._read()):
+    if i % 40 == 0:
+        for k in range(len(body) - 199):
+            total[hash(body[k : k + 200])] = 0
+for body in held._read():
+    for k in range(len(body) - 199):
+        h = hash(body[k : k + 200])
+        if h in total:
+            total[h] += 1
+import threading, time
+def now():
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+([0-9]+)", open("/proc/self/smaps_rollup").read()))) // 1024
+before, peak, stop = now(), [0], []
+def watch():
+    while not stop:
+        peak[0] = max(peak[0], now())
+        time.sleep(0.05)
+t = threading.Thread(target=watch, daemon=True); t.start()
+hits = [h if i % 40 == 0 else len(h) for i, h in enumerate(held.repeated(200))]
+stop.append(1); t.join()
+bodies = 0
+rng = np.random.default_rng(4)
+words = [bytes(rng.integers(97, 123, int(n), dtype=np.uint8)) for n in rng.integers(2, 9, 3000)]
+passages = [b" ".join(words[k] for k in rng.integers(0, 3000, 60)) for _ in range(400)]
+for i in range(36000):
+    own = b" ".join(words[k] for k in rng.integers(0, 3000, 45))
+    body = own[: i % 200] + passages[i % 400] + own[i % 200 :]
+    if i % 40 == 0:
+        want = [k for k in range(len(body) - 199) if total[hash(body[k : k + 200])] > 1]
+        assert hits[i].tolist() == want, i
+        bodies += bool(want)
+print(held.size >> 20, bodies, peak[0] - before)
+"""
+    import os
+
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code, repo], capture_output=True, text=True, timeout=240)
+    assert out.returncode == 0, out.stderr[-2000:]
+    size, bodies, memory = map(int, out.stdout.split())
+    assert size >= 20 and bodies > 800
+    assert memory < 16 * size  # in memory it takes more than 50 bytes for each
+
+
 def test_suffix_dedup_equals_counting(docs, nothing, rows):
     from chronoline.llm import suffixdedup
 
@@ -303,11 +400,13 @@ def test_suffix_dedup_equals_counting(docs, nothing, rows):
     assert suffixdedup.without_repeats(nothing).count() == 0
 
 
-def test_suffix_dedup_splits_hot_pieces(spark, monkeypatch):
+@pytest.mark.parametrize("external", [1 << 30, 300])
+def test_suffix_dedup_splits_hot_pieces(spark, monkeypatch, external):
     from chronoline.llm import suffixdedup
 
     monkeypatch.setattr(suffixdedup, "HOT", 3)
     monkeypatch.setattr(suffixdedup, "SHARD_BYTES", 500)
+    monkeypatch.setattr(suffixdedup, "EXTERNAL", external)
     rng = random.Random(2)
     word = lambda: "".join(rng.choices("abcdefgh", k=6))
     texts = [" ".join(word() for _ in range(60)) + PASSAGE[: rng.randint(150, 600)] + " ".join(word() for _ in range(60)) for _ in range(40)]
