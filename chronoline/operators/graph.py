@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import itertools
+import json
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,21 +114,110 @@ def reach_rounds(conn: DataFrame, foot: DataFrame, source: int, start: int, chan
     raise RuntimeError("labels did not settle")
 
 
+class Runs:
+    """Connections in order of (dep_t, trip_id, seq) in runs of columns, which lie in a file; those used last are held.
+
+    ``packed`` makes the runs on the cluster, in any order; ``kinds`` are the (line, cls, operator) of their trips,
+    which the column kind numbers.
+    """
+
+    ROWS, HELD = 10_000, 48
+    COLUMNS = ["dep_s", "dep_t", "arr_s", "arr_t", "trip_id", "seq", "mode", "cal", "kind"]
+    #: Of a trip that nothing is known of.
+    UNKNOWN = '["",null,""]'
+
+    def __init__(self, runs: Iterable[bytes]):
+        self.file, found, end = tempfile.TemporaryFile(), [], 0
+        self.kinds: list[tuple] = []
+        self.numbers: dict[str, int] = {}
+        self.held: dict[int, dict[str, np.ndarray]] = {}
+        for run in runs:
+            rows = self._read(run)
+            for name in rows.column("kind").chunk(0).dictionary.to_pylist():
+                if name not in self.numbers:
+                    self.numbers[name] = len(self.kinds)
+                    self.kinds.append(tuple(json.loads(name)))
+            head = tuple(rows.column(c)[0].as_py() for c in ("dep_t", "trip_id", "seq"))
+            found.append((head, rows.column("dep_t")[-1].as_py(), rows.num_rows, end, len(run)))
+            self.file.write(run)
+            end += len(run)
+        found.sort(key=lambda x: x[0])
+        self.heads, self.lasts, self.places = [x[0][0] for x in found], [x[1] for x in found], [x[3:] for x in found]
+        self.bases = [0, *itertools.accumulate(x[2] for x in found)]
+
+    @classmethod
+    def of(cls, conn: pd.DataFrame) -> Runs:
+        rows = conn.sort_values(["dep_t", "trip_id", "seq"], kind="stable")
+        rows = rows if "kind" in rows else rows.assign(kind=cls.UNKNOWN)
+        return cls(cls.cut(pa.Table.from_pandas(rows[cls.COLUMNS], preserve_index=False)))
+
+    @classmethod
+    def cut(cls, rows: pa.Table) -> Iterator[bytes]:
+        """Sorted rows as runs."""
+        for lo in range(0, rows.num_rows, cls.ROWS):
+            part = rows.slice(lo, cls.ROWS).combine_chunks()
+            part = part.set_column(part.column_names.index("kind"), "kind", part.column("kind").dictionary_encode())
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(part)
+            yield sink.getvalue().to_pybytes()
+
+    @staticmethod
+    def _read(run: bytes) -> pa.Table:
+        return pa.ipc.open_stream(run).read_all()
+
+    def run(self, k: int) -> dict[str, np.ndarray]:
+        if (c := self.held.pop(k, None)) is None:
+            at, size = self.places[k]
+            self.file.seek(at)
+            rows = self._read(self.file.read(size))
+            c = {x: rows.column(x).to_numpy() for x in self.COLUMNS if x != "kind"}
+            kind = rows.column("kind").chunk(0)
+            c["kind"] = np.array([self.numbers[x] for x in kind.dictionary.to_pylist()], np.int64)[kind.indices.to_numpy()]
+            while len(self.held) >= self.HELD:
+                del self.held[next(iter(self.held))]
+        self.held[k] = c  # the last in order
+        return c
+
+    def since(self, dep: int) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
+        """(number of the first row, its departure, columns) of the runs from the first with a departure at ``dep`` or later."""
+        for k in range(bisect.bisect_left(self.lasts, dep), len(self.lasts)):
+            yield self.bases[k], self.heads[k], self.run(k)
+
+    def row(self, i: int) -> tuple:
+        k = bisect.bisect_right(self.bases, i) - 1
+        c = self.run(k)
+        return tuple(c[x][i - self.bases[k] : i - self.bases[k] + 1].tolist()[0] for x in self.COLUMNS)
+
+
+def packed(conn: DataFrame) -> DataFrame:
+    """(run): the connections, with their kind, as runs for ``Runs``; sorted and packed by ranges, so no process holds them all."""
+
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for run in Runs.cut(pa.Table.from_batches([part])):
+                yield pa.RecordBatch.from_arrays([pa.array([run], pa.binary())], ["run"])
+
+    return conn.select(*Runs.COLUMNS).orderBy("dep_t", "trip_id", "seq").mapInArrow(pack, "run binary")
+
+
 class Scan:
     """Earliest arrival over a time-ordered list of connections, with the trips that were boarded."""
 
     CHANGE, BUS_CHANGE, EXTRA_DAYS = 4, 6, 2
 
-    def __init__(self, conn: pd.DataFrame, foot: pd.DataFrame):
-        rows = conn.sort_values(["dep_t", "trip_id", "seq"], kind="stable")
-        self.rows = list(rows[["dep_s", "dep_t", "arr_s", "arr_t", "trip_id", "seq", "mode", "cal"]].itertuples(index=False, name=None))
+    def __init__(self, conn: pd.DataFrame | Runs, foot: pd.DataFrame):
+        self.conn = conn if isinstance(conn, Runs) else Runs.of(conn)
         self.walks: dict[int, list[tuple[int, int]]] = {}
         for a, b, w in foot[["a", "b", "walk"]].itertuples(index=False, name=None):
             self.walks.setdefault(a, []).append((b, w))
             self.walks.setdefault(b, []).append((a, w))
 
-    def query(self, source: int, target: int | None, start: int, day: int | None = None, allow=lambda trip, mode: True) -> dict[int, tuple[int, tuple | None]]:
-        """Station -> (arrival, how): how is None at the source, ('walk', from, minutes) or ('ride', boarding row, row, shift)."""
+    def query(self, source: int, target: int | None, start: int, day: int | None = None, allow=lambda trip, mode: True, among=None) -> dict[int, tuple[int, tuple | None]]:
+        """Station -> (arrival, how): how is None at the source, ('walk', from, minutes) or ('ride', boarding row, row, shift).
+
+        allow(trip, mode) judges one connection, among(columns) those of a run at once.
+        """
         label: dict[int, tuple[int, tuple | None]] = {source: (start, None)}
         on_foot = {source}
         last_mode: dict[int, int] = {}
@@ -134,34 +227,46 @@ class Scan:
         for extra in range(self.EXTRA_DAYS + 1):
             boarded: dict[int, int] = {}
             shift = 1440 * extra
-            for i, (dep_s, dep_t, arr_s, arr_t, trip, _, mode, cal) in enumerate(self.rows):
-                dep, arr = dep_t + shift, arr_t + shift
-                if dep < start or (day is not None and not cal >> day & 1) or not allow(trip, mode):
-                    continue
-                if target in label and dep > label[target][0]:
-                    return label
-                if trip not in boarded:
-                    if dep_s not in label:
+            for base, head, c in self.conn.since(start - shift):
+                if target in label and head + shift > label[target][0]:
+                    break
+                may = c["dep_t"] + shift >= start
+                if day is not None:
+                    may &= c["cal"] >> day & 1 == 1
+                if among is not None:
+                    may &= among(c)
+                at = np.flatnonzero(may)
+                for i, dep_s, dep, arr_s, arr, trip, mode in zip((at + base).tolist(), *(c[x][at].tolist() for x in ("dep_s", "dep_t", "arr_s", "arr_t", "trip_id", "mode"))):
+                    if not allow(trip, mode):
                         continue
-                    need = 0 if dep_s in on_foot else self.BUS_CHANGE if mode == 1 or last_mode.get(dep_s) == 1 else self.CHANGE
-                    if label[dep_s][0] + need > dep:
-                        continue
-                    boarded[trip] = i
-                if arr_s not in label or arr < label[arr_s][0]:
-                    label[arr_s] = (arr, ("ride", boarded[trip], i, shift))
-                    last_mode[arr_s] = mode
-                    on_foot.discard(arr_s)
-                    for s, w in self.walks.get(arr_s, ()):
-                        if s not in label or arr + w < label[s][0]:
-                            label[s] = (arr + w, ("walk", arr_s, w))
-                            last_mode[s] = mode
-                            on_foot.discard(s)
+                    dep, arr = dep + shift, arr + shift
+                    if target in label and dep > label[target][0]:
+                        return label
+                    if trip not in boarded:
+                        if dep_s not in label:
+                            continue
+                        need = 0 if dep_s in on_foot else self.BUS_CHANGE if mode == 1 or last_mode.get(dep_s) == 1 else self.CHANGE
+                        if label[dep_s][0] + need > dep:
+                            continue
+                        boarded[trip] = i
+                    if arr_s not in label or arr < label[arr_s][0]:
+                        label[arr_s] = (arr, ("ride", boarded[trip], i, shift))
+                        last_mode[arr_s] = mode
+                        on_foot.discard(arr_s)
+                        for s, w in self.walks.get(arr_s, ()):
+                            if s not in label or arr + w < label[s][0]:
+                                label[s] = (arr + w, ("walk", arr_s, w))
+                                last_mode[s] = mode
+                                on_foot.discard(s)
             if target in label:
                 return label
         return label
 
-    def legs(self, label: dict, target: int) -> list[tuple]:
-        """Legs from the source: ('walk', from, to, minutes) or ('ride', trip, from, dep, to, arr); empty if not reached."""
+    def legs(self, label: dict, target: int, kinds: dict[int, tuple] | None = None) -> list[tuple]:
+        """Legs from the source: ('walk', from, to, minutes) or ('ride', trip, from, dep, to, arr); empty if not reached.
+
+        kinds: takes the (line, cls, operator) of the trips on the way.
+        """
         out, at, guard = [], target, 0
         while at in label and label[at][1] is not None and guard < 500:
             how = label[at][1]
@@ -169,8 +274,10 @@ class Scan:
                 out.append(("walk", how[1], at, how[2]))
                 at = how[1]
             else:
-                on, off = self.rows[how[1]], self.rows[how[2]]
+                on, off = self.conn.row(how[1]), self.conn.row(how[2])
                 out.append(("ride", on[4], on[0], on[1] + how[3], off[2], off[3] + how[3]))
+                if kinds is not None:
+                    kinds[on[4]] = self.conn.kinds[on[8]]
                 at = on[0]
             guard += 1
         return out[::-1]
