@@ -11,7 +11,7 @@ from chronoline.operators import graph, journeys
 from chronoline.plans import q_search, registry
 from chronoline.plans.adapter import Network
 
-QUERIES = ["q01_journeys", "q02_next_journey", "q03_previous_journey", "q04_first_and_last"]
+QUERIES = ["q01_journeys", "q02_next_journey", "q03_previous_journey", "q04_first_and_last", "q05_latest_departure"]
 
 
 @pytest.fixture(scope="module")
