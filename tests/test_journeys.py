@@ -89,3 +89,26 @@ def test_short_runs_change_nothing(monkeypatch):
     monkeypatch.setattr(graph.Runs, "HELD", 2)
     short = labels()
     assert whole[2] == 1 and short[2] == 58 and short[:2] == whole[:2]
+
+
+@pytest.mark.parametrize(("since", "until", "step", "late"), [(1260, 1440, 2, None), (1260, 1440, 1, None), (240, 479, 1, None), (1260, 1380, 1, (1400, 1435))])
+def test_the_last_service_follows_every_departure(since, until, step, late):
+    """More than eighty departures after the hour it begins at, up to the end of the day or to where services thin out."""
+    times = [(m, m + 1) for m in range(since, until, step)]
+    rows = [(1, dep, 2, arr, k, 1, 0, 7) for k, (dep, arr) in enumerate([*times, late] if late else times)]
+    conn = pd.DataFrame(rows, columns=["dep_s", "dep_t", "arr_s", "arr_t", "trip_id", "seq", "mode", "cal"])
+    first, last = journeys.Planner(conn, pd.DataFrame([], columns=["a", "b", "walk"])).first_and_last(1, 2)
+    assert len(times) > 81 and (first.dep, last.dep, last.arr) == (since, *times[-1])
+
+
+def test_q04_follows_every_departure(spark, tmp_path):
+    """A service every two minutes from nine o'clock in the evening on, by rail from 8 to 55 and by bus from 3 to 77."""
+    rows = []
+    for way, mode in (((8, 55), 0), ((3, 77), 4)):
+        for k, minute in enumerate(range(1260, 1440, 2)):
+            for i, station in enumerate(way):
+                at = datetime.datetime(2026, 6, 1) + datetime.timedelta(minutes=minute + i)
+                rows.append((len(rows), 5 * k + mode, at, "view", 1.0, f'{{"k": {station}}}'))
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    found = registry.queries()["q04_first_and_last"](spark, str(tmp_path)).select("req", "dep", "arr").collect()
+    assert sorted(map(tuple, found)) == [(0, 1260, 1261), (1, 1438, 1439), (2, 1438, 1439)]
